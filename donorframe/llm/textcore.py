@@ -142,26 +142,53 @@ class Words:
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         return mix(acc[at] + np.uint64(k)), at
 
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all k-word shingles and the text of each; a text of fewer words gives all its words as one."""
+        g, at = self.grams(k)
+        n = self.count()
+        few = np.flatnonzero((n > 0) & (n < k))
+        if not len(few):
+            return g, self.doc[at]
+        acc = np.zeros(len(few), np.uint64)
+        for j in range(k - 1):
+            more = np.flatnonzero(n[few] > j)
+            acc[more] = acc[more] * STEP + self.hash[self.first[few[more]] + j]
+        return np.concatenate([g, mix(acc + n[few].astype(np.uint64))]), np.concatenate([self.doc[at], few])
+
     def shingle_sets(self, k: int) -> list[np.ndarray]:
         """For each text the sorted distinct hashes of its k-word shingles; of all its words if it has fewer than k."""
-        g, at = self.grams(k)
-        cut = np.searchsorted(self.doc[at], np.arange(len(self.offsets)))
-        out, n = [], self.count()
-        for i in range(len(self.offsets) - 1):
-            if n[i] >= k:
-                x = np.sort(g[cut[i] : cut[i + 1]])
-                out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
-            elif n[i]:
-                acc = np.uint64(0)
-                with np.errstate(over="ignore"):
-                    for w in self.hash[self.first[i] : self.first[i + 1]]:
-                        acc = acc * STEP + w
-                    out.append(mix(np.array([acc + np.uint64(n[i])], dtype=np.uint64)))
-            else:
-                out.append(np.zeros(0, np.uint64))
+        g, doc = self.shingles(k)
+        order = np.argsort(doc, kind="stable") if len(doc) and (doc[1:] < doc[:-1]).any() else slice(None)
+        g, doc = g[order], doc[order]
+        cut = np.searchsorted(doc, np.arange(len(self.offsets)))
+        out = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            x = np.sort(g[a:b])
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if b > a else x)
         return out
 
 
+class HashFilter:
+    """Which of many hashes belong to a bounded set: a bit table first, then the exact set."""
+
+    BITS = 20
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values.astype(np.uint64))
+        self.table = np.zeros(1 << self.BITS, dtype=bool)
+        self.table[self.values >> np.uint64(64 - self.BITS)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the hashes that belong to it, and each one's number in `values`."""
+        at = np.flatnonzero(self.table[hashes >> np.uint64(64 - self.BITS)])
+        if not len(at):
+            return at, at
+        k = np.searchsorted(self.values, hashes[at])
+        ok = k < len(self.values)
+        ok[ok] = self.values[k[ok]] == hashes[at[ok]]
+        return at[ok], k[ok]
+
+
 def set_key(values: np.ndarray) -> tuple[int, int]:
     """128 bits that identify a set of hashes."""
     if not len(values):
