@@ -31,6 +31,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_items
 
@@ -44,7 +50,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_license_scans, op4_chat_formatting, op6_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
