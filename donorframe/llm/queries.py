@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -50,7 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
