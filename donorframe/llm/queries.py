@@ -55,8 +55,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination, op10_embedding_neardup)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
