@@ -33,10 +33,16 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digest
 
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
     return digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
@@ -62,7 +68,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op8_pii, op9_decontamination, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
