@@ -55,6 +55,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .counting import count_tokens
 
@@ -68,7 +74,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.

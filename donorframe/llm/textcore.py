@@ -89,10 +89,11 @@ def blocks(column: pa.Array, most: int = SEGMENT):
 class Words:
     """Words of a run of texts: hash, text number, start and end byte of each, in order."""
 
-    __slots__ = ("data", "offsets", "hash", "doc", "start", "end", "first")
+    __slots__ = ("data", "offsets", "hash", "doc", "start", "end", "first", "lengths", "prefix")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True):
-        self.data, self.offsets = data, offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True, prefixes: tuple[int, ...] = ()):
+        """prefixes: lengths in bytes of word beginnings that are hashed too (a shorter word's is the word)."""
+        self.data, self.offsets, self.lengths = data, offsets, prefixes
         n, at, parts = len(data), 0, []
         while at < n:
             to = min(n, at + SEGMENT)
@@ -101,8 +102,9 @@ class Words:
                 to = at + 1 + int(free[-1]) if len(free) else min(n, to + SEGMENT)
             parts.append(self._segment(at, to, is_word, lower))
             at = to
-        start, end, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.start, self.end, self.hash = start, end, h
+        none = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * (1 + len(prefixes))
+        start, end, h, *rest = (np.concatenate(x) for x in zip(*parts)) if parts else none
+        self.start, self.end, self.hash, self.prefix = start, end, h, dict(zip(prefixes, rest))
         self.doc = np.searchsorted(offsets, start, "right") - 1
         #: number of the first word of each text, and of all words at the end
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
@@ -125,7 +127,8 @@ class Words:
         s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(_byte_values()[data] * powers(b - a, BASE), out=sums[1:])
-        return s + a, e + a, mix((sums[e] - sums[s]) * powers(b - a, INVERSE)[s])
+        back = powers(b - a, INVERSE)[s]
+        return s + a, e + a, *(mix((sums[to] - sums[s]) * back) for to in (e, *(np.minimum(s + k, e) for k in self.lengths)))
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
