@@ -1,27 +1,57 @@
-"""The corpus pipeline: documents go through STAGES in order; each stage's rows are written and read again."""
+"""The corpus pipeline: documents go through STAGES in order; each stage's rows are written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from donorframe.llm.packing import pack
+from donorframe.llm import decontamination, neardup, packing, pii, quality
 from donorframe.llm.workspace import Workspace
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity of 0.8)."""
+    return neardup.deduplicate(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the new text."""
+    return pii.redact(docs).selectExpr(*["length(text) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns]).to(docs.schema)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack what is left into sequences of 1024."""
-    return pack(docs)
+    """Tokenise what is left and pack it into sequences of 1024."""
+    return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", pii_redaction),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Tokenisers and trained models cannot be expressed in SQL; the stages are tested against plain versions.
+#: Tokenisers and trained models cannot be expressed in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = work.keep(stage(spark, docs, sf_dir), f"stage{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
