@@ -50,14 +50,15 @@ def read_fasta(spark: SparkSession, path: str, single: str | None = None, chunk:
 def genome_windows(genome: DataFrame, windows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Windows (chrom, start, end and any others) with their bases as `seq`: an equi-join on chunks, never the whole
     genome in one place. A window of no bases has an empty seq."""
-    w = windows.withColumn("__w", F.monotonically_increasing_id())
-    pieces = w.where("end > start").select("__w", "chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))).cast("int").alias("chunk_id"))
+    key = ["chrom", "start", "end"]
+    asked = windows.where("end > start").select(*key).distinct()
+    pieces = asked.select(*key, F.explode(F.sequence(F.floor(F.col("start") / chunk).cast("int"), F.floor((F.col("end") - 1) / chunk).cast("int"))).alias("chunk_id"))
     g = genome.select("chrom", "chunk_id", F.col("start").alias("g_start"), "seq")
     low = F.greatest(F.col("start") - F.col("g_start"), F.lit(0))
     high = F.least(F.col("end") - F.col("g_start"), F.length("seq"))
-    found = pieces.join(g, ["chrom", "chunk_id"]).select("__w", "chunk_id", F.substr("seq", low + 1, F.greatest(high - low, F.lit(0))).alias("part"))
-    joined = found.groupBy("__w").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "part"))), lambda p: p.part), "").alias("seq"))
-    return w.join(joined, "__w", "left").withColumn("seq", F.coalesce("seq", F.lit(""))).drop("__w")
+    found = pieces.join(g, ["chrom", "chunk_id"]).select(*key, "chunk_id", F.substr("seq", low + 1, F.greatest(high - low, F.lit(0))).alias("part"))
+    joined = found.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "part"))), lambda p: p.part), "").alias("seq"))
+    return windows.join(joined, key, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
 def derived(df: DataFrame) -> DataFrame:
