@@ -163,6 +163,8 @@ def verify_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keep_keys: bool = False) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    # tables that grow with the input are joined by merging at every size: what is small enough to broadcast today is
+    # not at scale, and a plan that changes with the size cannot be projected
     spark = docs.sparkSession
     prepare(spark)
     work = Workspace(spark, "neardup")
@@ -170,7 +172,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     same = ["n", "set_a", "set_b"]
     classes = work.keep(sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
     slim = sets.select("key", "n", "sketch")
-    reps = work.keep(slim.join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "reps")
+    reps = work.keep(slim.join(classes.select(F.col("rep").alias("key")).hint("merge"), "key", "left_semi"), "reps")
 
     counted = reps.select(F.explode(F.slice("sketch", 1, COUNTED)).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > LONG)
     counted = work.keep(counted, "counted")
@@ -182,10 +184,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     ordered = first.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), "pos", "v"))), 1, PREFIX).alias("p"))
     postings = work.keep(ordered.select("key", F.explode("p.v").alias("v")), "postings")
     lists = work.keep(postings.groupBy("v").agg(F.count("*").alias("entries"), F.min("key").alias("hub")).where("entries > 1"), "lists")
-    entries = work.keep(postings.join(lists, "v"), "entries")
+    entries = work.keep(postings.join(lists.hint("merge"), "v"), "entries")
     work.drop(postings)
     whole = entries.where(F.col("entries") > long_list).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    short = entries.where(F.col("entries") <= long_list).select("v", "key").join(reps, "key")
+    short = entries.where(F.col("entries") <= long_list).select("v", "key").hint("merge").join(reps, "key")
     arranged = short.repartition("v").sortWithinPartitions("v")
     close_by = arranged.select("v", "key", "n", "sketch").mapInArrow(partial(join_lists, percent=percent), "a long, b long")
     candidates = work.keep(components(work, whole.unionAll(close_by)), "candidates")
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     stats = work.keep(members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")), "stats")
     full = work.keep(full_sets(docs, members, shingle), "full")
     placed = members.join(stats, "comp").select("comp", F.col("node").alias("key"), F.expr("pmod(xxhash64(node), n_blocks)").cast("int").alias("block"), F.expr("explode(sequence(0, n_blocks - 1))").alias("other"))
-    tiles = placed.select("comp", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(full, "key")
+    tiles = placed.select("comp", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).hint("merge").join(full, "key")
     arranged = tiles.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
     links = arranged.select("comp", "low", "high", "block", "key", "values").mapInArrow(partial(verify_tiles, percent=percent), "a long, b long")
     joined = components(work, links)
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     linked = work.keep(named.join(least, "comp").select(F.col("node").alias("rep"), F.col("comp"), "component_id"), "linked")
     of_class = work.keep(classes.join(linked, "rep", "left").select(*same, F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("comp", "rep").alias("group_key")), "of_class")
     rows = sets.select("key", "doc_id", *same)
-    some = rows.where("n > 0").join(of_class, same)
+    some = rows.where("n > 0").join(of_class.hint("merge"), same)
     none = rows.where("n = 0").select(*same, "key", "doc_id", F.col("doc_id").alias("component_id"), F.col("key").alias("group_key"))
     out = some.unionByName(none).withColumn("kept", F.expr("coalesce(doc_id = component_id, component_id is null)"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", *(["key", "group_key"] if keep_keys else []))
@@ -216,7 +218,7 @@ def full_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """The whole shingle sets of candidate classes: key, values."""
     wanted = members.select(F.col("least_id").alias("doc_id"), F.col("node").alias("key"), "set_a", "set_b")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    both = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "set_a", "set_b", "text")
+    both = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "set_a", "set_b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
