@@ -3,8 +3,8 @@
 Method: the histogram of piece lengths (at most `capacity` numbers, whatever the corpus size) defines a configuration
 linear program - least number of sequences such that the configurations cover every length's count. Multiplicative
 weights solve it: each step prices a configuration with a knapsack dynamic program over the current weights. The
-fractional solution is rounded down and the rest is filled by a bounded subset-sum program, always from the longest
-length left. The plan is a table of configurations with multiplicities; every piece finds its place by arithmetic on its
+fractional solution is rounded down and the rest is placed by best-fit decreasing over the histogram or, where that needs
+fewer sequences, by a bounded subset-sum program from the longest length left. The plan is a table of configurations with multiplicities; every piece finds its place by arithmetic on its
 rank among the pieces of its length, so no task holds more than a batch of pieces.
 
 Defined cases: a null or empty text is the end token alone (one piece of length 1); a null id stays null; repeated rows
@@ -102,6 +102,33 @@ def fill(left: dict[int, int], capacity: int) -> dict[int, int]:
     return out
 
 
+def best_fit(left: dict[int, int], capacity: int) -> Plan:
+    """Best-fit decreasing over a histogram: sequences that hold the same are one group with a multiplicity, so the work
+    depends on the numbers of lengths and gaps and not on the number of pieces."""
+    groups: dict[int, list[list]] = {}  # by free space: [configuration, sequences]
+    for length in sorted(left, reverse=True):
+        n = left[length]
+        gaps = sorted(g for g in groups if g >= length) + [capacity]
+        while n:
+            gap = gaps[0]
+            group = groups[gap][-1] if groups.get(gap) else None
+            if group is None and gap != capacity:
+                gaps.pop(0)
+                continue
+            # a sequence that still has room for the length is the best fit for the next piece too
+            each = min(gap // length, n)
+            times = n // each if group is None else min(n // each, group[1])
+            config = {} if group is None else group[0]
+            if group is not None:
+                group[1] -= times
+                if not group[1]:
+                    groups[gap].pop()
+            new = config | {length: config.get(length, 0) + each}
+            groups.setdefault(gap - each * length, []).append([new, times])
+            n -= each * times
+    return [(tuple(sorted(c.items(), reverse=True)), k) for gs in groups.values() for c, k in gs]
+
+
 def _apply(config: dict[int, int], times: int, left: dict[int, int], plan: Plan) -> None:
     for length, a in config.items():
         left[length] -= a * times
@@ -113,15 +140,19 @@ def _apply(config: dict[int, int], times: int, left: dict[int, int], plan: Plan)
 def make_plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
     """Configurations with multiplicities that use up the histogram exactly."""
     best: Plan = []
-    for relaxed in (True, False):
+    fractional = relax({k: v for k, v in hist.items() if v}, capacity, steps) if any(hist.values()) else {}
+    for relaxed, rest in ((True, best_fit), (True, fill), (False, best_fit), (False, fill)):
         left, plan = {k: v for k, v in hist.items() if v}, []
         if relaxed and left:
-            for config, x in sorted(relax(left, capacity, steps).items(), key=lambda c: -sum(k * a for k, a in c[0])):
+            for config, x in sorted(fractional.items(), key=lambda c: -sum(k * a for k, a in c[0])):
                 if sum(k * a for k, a in config) < capacity:
                     continue  # what such a configuration wastes is for the filler to save
                 times = min(int(x), *(left.get(k, 0) // a for k, a in config))
                 if times > 0:
                     _apply(dict(config), times, left, plan)
+        if rest is best_fit:
+            plan += best_fit(left, capacity)
+            left = {}
         while left:
             config = fill(left, capacity)
             _apply(config, min(left[k] // a for k, a in config.items()), left, plan)
