@@ -26,7 +26,7 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +96,68 @@ FROM w GROUP BY conv_id
 """
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+
+def shingle_sql(k: int) -> str:
+    """Distinct shingles of a list of words."""
+    run = f"list_distinct([array_to_string(ws[i : i + {k - 1}], ' ') for i in range(1, len(ws) - {k - 2})])"
+    return f"CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE {run} END"
+
+
+# Components by closure over links; small at the size where this runs.
+def component_sql(ids: str) -> str:
+    return f"""reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comps AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+named AS (SELECT x.*, least(x.{ids}, coalesce(low, x.{ids})) AS component_id FROM nodes x LEFT JOIN comps ON a = {ids})"""
+
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {SPACED_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, {shingle_sql(4)} AS sh FROM w),
+nodes AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS n FROM u l JOIN u r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN nodes x ON x.doc_id = a JOIN nodes y ON y.doc_id = b WHERE 100 * n >= 80 * (x.n_shingles + y.n_shingles - n)),
+{component_sql("doc_id")} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named"""
+
+OP9_SQL = f"""WITH w AS (SELECT doc_id, {ALNUM_WORDS} AS ws FROM documents), u AS (SELECT doc_id, unnest({shingle_sql(5)}) AS x FROM w),
+i AS (SELECT item_id, {ALNUM_WORDS} AS ws FROM benchmark), s AS (SELECT item_id, {shingle_sql(5)} AS sh FROM i),
+t AS (SELECT item_id, CAST(len(sh) AS BIGINT) AS n_item_shingles, unnest(sh) AS x FROM s)
+SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared, count(*)::DOUBLE / n_item_shingles AS containment
+FROM u JOIN t USING (x) GROUP BY 1, 2, 3 HAVING count(*) >= 0.8 * n_item_shingles"""
+
+OP10_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT * FROM nodes WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM fine p JOIN fine q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), {component_sql("vec_id")}
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN n ON n.a = vec_id"""
+
+
+def op3_sql() -> str:
+    """Diagonal voting in SQL, over the same templates."""
+    from .licenses import BASE, COVERAGE, GRAM, NEIGHBOUR, TEMPLATES
+
+    rows = ", ".join(f"({t}, '{text}', '{label}', {t < len(BASE)})" for t, (text, label) in enumerate(BASE + TEMPLATES))
+    gram = f"array_to_string(ws[i + 1 : i + {GRAM}], ' ')"
+    return f"""WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS ws FROM documents),
+tpl AS (SELECT t, label, base, string_split(phrase, ' ') AS ws FROM (VALUES {rows}) x(t, phrase, label, base)),
+tg AS (SELECT t, label, base, len(ws) - {GRAM - 1} AS n, i, {gram} AS g FROM tpl, range(0, len(ws) - {GRAM - 1}) r(i)),
+pos AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {GRAM - 1}, 0))) AS i FROM d WHERE len(ws) >= {GRAM}),
+dg AS (SELECT doc_id, i, {gram} AS g FROM pos),
+v AS (SELECT doc_id, t, label, base, n, dg.i - tg.i AS diag, count(*) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
+f AS (SELECT *, CASE WHEN diag - lag(diag) OVER o <= {NEIGHBOUR} THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, t ORDER BY diag)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY diag ROWS UNBOUNDED PRECEDING) AS run FROM f),
+s AS (SELECT doc_id, t, label, base, least(1.0::DOUBLE, sum(votes)::DOUBLE / n) AS score, count(*) FILTER (votes = n) AS fulls,
+  min(diag) FILTER (votes = n) AS lo, max(diag) FILTER (votes = n) AS hi FROM r GROUP BY doc_id, t, label, base, n, run),
+k AS (SELECT * FROM s WHERE (base AND fulls > 0) OR (NOT base AND score >= {COVERAGE})),
+a AS (SELECT doc_id, CAST(coalesce(sum(fulls) FILTER (base), 0) AS BIGINT) AS n_base, CAST(min(lo) FILTER (base) AS BIGINT) AS first_word, CAST(max(hi) FILTER (base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(CASE WHEN base THEN 1.0::DOUBLE ELSE score END) AS score FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN a USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op2_neardup": OP2_SQL, "op3_license_scans": op3_sql(), "op4_chat_formatting": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_embedding_neardup": OP10_SQL}
