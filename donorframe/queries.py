@@ -14,7 +14,7 @@ from .functions import scalar
 from .model import scorings
 from .operators import clustering, exact, intervals, metrics
 from .operators.matcher import match_clusters
-from .sources.readers import derived, first_of_each
+from .sources.readers import CHUNK, derived, first_of_each
 
 REACH = 30
 
@@ -205,8 +205,9 @@ query(f", {SNV} SELECT chrom, cluster_no, count(*) AS n, count(*) FILTER (side =
 )
 
 
-def genome(spark: SparkSession, sf_dir: str, chunk: int = 1 << 16) -> DataFrame:
-    """The genome that the view's refs come from: base 1 + pos % 4 of ACGT, in chunks."""
+def genome(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+    """The genome that the view's refs come from: base 1 + pos % 4 of ACGT, in chunks. Being periodic it makes every long
+    gap a tandem repeat, which would chain whole chromosomes; the queries below cluster without it and match on it."""
     top = variants(spark, sf_dir).agg(F.max("pos").alias("top"))
     ids = top.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("top") + 200) / chunk).cast("int"))).alias("chunk_id"))
     names = spark.range(1, 23).select(F.col("id").cast("string").alias("chrom"))
@@ -215,14 +216,14 @@ def genome(spark: SparkSession, sf_dir: str, chunk: int = 1 << 16) -> DataFrame:
 
 @query()
 def cluster_general(spark, sf_dir):
-    return shown(clustering.cluster(variants(spark, sf_dir), genome(spark, sf_dir)), "side", "cluster_id")
+    return shown(clustering.cluster(variants(spark, sf_dir)), "side", "cluster_id")
 
 
 def matching(unit: int, mode: int, scheme: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = genome(spark, sf_dir)
         cuts = spark.createDataFrame([(0, 0.0)], "t int, qual_min double")
-        found = match_clusters(clustering.cluster(variants(spark, sf_dir), g), g, cuts, scorings(unit, mode, scheme))
+        found = match_clusters(clustering.cluster(variants(spark, sf_dir)), g, cuts, scorings(unit, mode, scheme))
         return found.select("cluster_id", "chrom", "pos", "status", "score", "baseline_match", "query_match", "baseline_edits", "query_edits")
 
     return run

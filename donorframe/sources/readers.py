@@ -12,7 +12,7 @@ from ..functions.scalar import leading_int, split_nonempty
 from ..model import BASELINE, CHROMOSOMES, COLUMNS, MAX_INDEL, QUERY
 
 #: Bases of one genome row.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
