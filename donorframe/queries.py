@@ -161,8 +161,8 @@ merged AS (SELECT chrom, min(s) AS s, max(e) AS e FROM m2 GROUP BY chrom, run)""
 query(f", {MERGED} SELECT chrom, s AS start, e AS \"end\" FROM merged", "interval_merge")(lambda spark, sf_dir: intervals.merge_intervals(indel_windows(variants(spark, sf_dir))))
 
 
-def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 0").selectExpr("cast(1 + p_partkey % 20 AS string) AS chrom", "cast(p_partkey * 50 AS int) AS start", "cast(p_partkey * 50 + p_size * 8 AS int) AS end")
+def bed(spark: SparkSession, sf_dir: str, rows: str = "p_partkey % 3 = 0") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").where(rows).selectExpr("cast(1 + p_partkey % 20 AS string) AS chrom", "cast(p_partkey * 50 AS int) AS start", "cast(p_partkey * 50 + p_size * 8 AS int) AS end")
 
 
 BED = "bed AS (SELECT CAST(1 + p_partkey % 20 AS VARCHAR) AS chrom, CAST(p_partkey * 50 AS INT) AS s, CAST(p_partkey * 50 + p_size * 8 AS INT) AS e FROM part WHERE p_partkey % 3 = 0)"
@@ -170,6 +170,9 @@ HIT = "EXISTS (SELECT 1 FROM bed WHERE bed.chrom = v.chrom AND bed.s <= v.pos AN
 ABSENT = "v.chrom NOT IN (SELECT chrom FROM bed)"
 query(f", {BED} SELECT {ROW} FROM v WHERE {HIT} OR {ABSENT}", "bed_inside")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir))))
 query(f", {BED} SELECT {ROW} FROM v WHERE NOT {HIT} OR {ABSENT}", "bed_outside")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir), inside=False)))
+# the SQL above is fixed and takes a third of the parts; these take them all
+query(name="bed_inside_whole")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir, "true"))))
+query(name="bed_outside_whole")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir, "true"), inside=False)))
 
 
 @query(f""", {MERGED}, near AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM merged WHERE merged.chrom = v.chrom AND merged.s <= v.pos AND v.pos < merged.e)),
@@ -344,7 +347,17 @@ FILES = "f AS (SELECT CAST(row_id % 2 AS INT) AS file_id, chrom, pos, min(ref) A
 
 @query(f", {FILES} SELECT chrom, pos, count(DISTINCT file_id) AS n_files, string_agg(file_id || '=' || alt, ';' ORDER BY file_id, alt) AS donors FROM f GROUP BY 1, 2 HAVING count(DISTINCT file_id) < 2 OR count(DISTINCT ref || ' ' || alt) > 1")
 def match_diff(spark, sf_dir):
-    v = variants(spark, sf_dir).where("pos % 7 = 0").withColumn("alt", F.array_join("alts", "/"))
+    return diff_of_halves(variants(spark, sf_dir).where("pos % 7 = 0"))
+
+
+@query()
+def match_diff_whole(spark, sf_dir):
+    """match_diff over all rows; its SQL is fixed and takes every seventh position."""
+    return diff_of_halves(variants(spark, sf_dir))
+
+
+def diff_of_halves(v: DataFrame) -> DataFrame:
+    v = v.withColumn("alt", F.array_join("alts", "/"))
     files = v.groupBy((F.col("row_id") % 2).cast("int").alias("file_id"), "chrom", "pos").agg(F.min("ref").alias("ref"), F.max("alt").alias("alt"))
     return metrics.match_diff(files, 2)
 
