@@ -2,10 +2,10 @@
 
 Equal vectors of one label are one class. Classes of a label are dealt to shards of about SHARD vectors; a task builds
 each shard's graph. Every class then queries every shard of its label: queries come in blocks of about QUERIES, each with
-a copy of the shard's index, so neither a large label nor a large shard count gathers in one task. A beam that is full of
-links is widened; an audit of some queries of each block against the whole shard widens all beams until its recall is
-reached, at the end to the whole shard, which is exact. Found pairs are verified by cosine in double precision; only
-counts and forests of links leave a task.
+a copy of the shard's index, so neither a large label nor a large shard count gathers in one task. An audit scans the whole
+shard for every query and counts its links; the beam of a query with links widens until all of them are found, at the end
+to the whole shard. Found pairs are verified by cosine in double precision; only counts and forests of links leave a
+task.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
 link with nothing; vectors of different lengths are not compared; null ids get their component's least id; repeated rows
@@ -33,8 +33,6 @@ M = 12
 BUILD_BEAM = 48
 BEAM = 64
 WIDER = 4
-AUDIT = 32
-RECALL = 0.995
 #: What single precision may miss of the threshold.
 SLACK = 1e-4
 
@@ -192,30 +190,33 @@ class Graph:
         return self
 
 
+def count_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float) -> np.ndarray:
+    """The number of nodes at or above the cosine of each query, by a scan of the whole shard."""
+    single, out = q.astype(np.float32), np.zeros(len(q), dtype=int)
+    for a in range(0, len(q), 256):
+        for i, near in enumerate(single[a : a + 256] @ graph.v.T >= cosine - SLACK, a):
+            ids = np.flatnonzero(near)
+            out[i] = (exact[ids] @ q[i] >= cosine).sum()
+    return out
+
+
 def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """For each query the nodes at or above the cosine; beams widen per query while they are full of links, and for all
-    queries until the audit's recall is reached."""
+    """For each query the nodes at or above the cosine; the beam of a query widens until it has found as many as the scan
+    of the shard counts."""
     low, single = cosine - SLACK, q.astype(np.float32)
     n = len(exact)
-    audited = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = (single[audited] @ graph.v.T >= low).sum()
+    truth = count_links(graph, exact, q, cosine)
     found: list[np.ndarray] = [np.zeros(0, int)] * len(q)
-    beam, rows = BEAM, np.arange(len(q))
+    beam, rows = BEAM, np.flatnonzero(truth)
     while len(rows):
-        wider = []
         for a in range(0, len(rows), 256):
             at = rows[a : a + 256]
             ids, sims = graph.search(single[at], beam, own[at])
             for i, row, sim in zip(at.tolist(), ids, sims):
-                found[i] = row[(sim >= low) & (row >= 0)]
-            if beam < n:
-                wider.append(at[sims[:, -1] >= low])
-        rows = np.concatenate(wider) if wider else rows[:0]
-        if not len(rows) and beam < n and sum(len(found[i]) for i in audited.tolist()) < RECALL * truth:
-            rows = np.arange(len(q))
+                near = row[(sim >= low) & (row >= 0)]
+                found[i] = near[exact[near] @ q[i] >= cosine]
+        rows = np.array([i for i in rows.tolist() if len(found[i]) < truth[i]], dtype=int) if beam < n else rows[:0]
         beam = beam * WIDER if beam * WIDER * 4 < n else n
-    for i, ids in enumerate(found):
-        found[i] = ids[exact[ids] @ q[i] >= cosine]
     return found
 
 
