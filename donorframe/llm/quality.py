@@ -6,8 +6,7 @@ pattern's posterior; posterior labels of a bounded sample train a linear scorer
 scorer's probability and the posterior decide on every document by their mean. One labeller is a lexicon of words and word beginnings that tell toxic documents, found
 in a bounded sample of labelled rows.
 
-Bounds (documented parameters): LABELLED labelled rows for the lexicon, LEXICON entries, TRAINED rows for the scorer,
-2 ** BITS weights. Vote patterns are counted over all documents, and all documents are scored as a whole.
+Bounds (documented parameters): LABELLED labelled rows for the lexicon, TRAINED rows for the scorer, 2 ** BITS weights. Vote patterns are counted over all documents, and all documents are scored as a whole.
 
 Defined cases: a null or empty text gets no votes and is kept; null ids and repeated rows are scored one by one; without
 labelled rows the lexicon is empty; an empty table gives no rows; other columns are ignored by classify() and kept by
@@ -34,8 +33,7 @@ FALSE_VOTES = 0.001
 #: Most that the posterior of a document without any bad vote can be.
 QUIET = 0.05
 LABELLED = 20_000
-LEXICON = 4_096
-#: Toxic rows that an entry has to be in, and that it has to be the first to cover.
+#: Different toxic texts that an entry has to be in, and that it has to be the first to cover.
 SUPPORT, COVERED = 6, 3
 TRAINED = 6_000
 BITS = 18
@@ -139,7 +137,7 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> tuple[
 
 def find_lexicon(docs: DataFrame, labels: DataFrame) -> HashFilter:
     """Words and word beginnings of toxic documents: those in hardly any other labelled document, picked by the number
-    of toxic rows that they are the first to cover."""
+    of different toxic texts that they are the first to cover."""
     n = labels.count()
     sample = labels.where(F.expr(f"pmod(xxhash64(doc_id), {max(1, -(-n // LABELLED))}) = 0")).select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
@@ -157,19 +155,20 @@ def find_lexicon(docs: DataFrame, labels: DataFrame) -> HashFilter:
                 np.add.at(sign, words.doc, words.hash)
                 yield pa.RecordBatch.from_arrays([pa.array(terms[first].view(np.int64)), pa.array(toxic[a + doc[first]].astype(np.int64)), pa.array(sign[doc[first]].view(np.int64))], ["term", "toxic", "row"])
 
-    terms = rows.mapInArrow(run, "term long, toxic long, row long").persist()
+    # copies of a text count once
+    terms = rows.mapInArrow(run, "term long, toxic long, row long").distinct().persist()
     good = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(f"bad >= {SUPPORT} and n - bad <= 0.02 * bad")
-    good = good.orderBy(F.desc("bad"), "term").limit(LEXICON)
-    covers: dict[int, set[int]] = {}
-    for term, row in terms.where("toxic = 1").join(F.broadcast(good.select("term")), "term").select("term", "row").toLocalIterator():
-        covers.setdefault(term, set()).add(row)
-    terms.unpersist()
+    covers = terms.where("toxic = 1").join(good.select("term"), "term").groupBy("term").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    # of terms in the same texts the first stands for all; they come largest first, and only texts are held here
+    ordered = covers.groupBy("rows").agg(F.min("term").alias("term")).orderBy(F.desc(F.size("rows")), "term")
     picked: list[int] = []
-    left: set[int] = set().union(*covers.values()) if covers else set()
-    for term in sorted(covers, key=lambda t: (-len(covers[t]), t)):
-        if len(covers[term] & left) >= COVERED:
-            picked.append(term)
-            left -= covers[term]
+    told: set[int] = set()
+    for row in ordered.toLocalIterator():
+        fresh = set(row["rows"]) - told
+        if len(fresh) >= COVERED:
+            picked.append(row["term"])
+            told |= fresh
+    terms.unpersist()
     return HashFilter(np.array(picked, dtype=np.int64).view(np.uint64))
 
 
