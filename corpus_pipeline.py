@@ -1,5 +1,7 @@
 """The corpus pipeline: documents go through STAGES in order; each stage's rows are written and read again.
 
+Rows are judged one by one: a null or repeated id keeps nothing and takes nothing with it.
+
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents.
 """
@@ -14,17 +16,17 @@ from donorframe.llm.workspace import Workspace
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity of 0.8)."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate_rows(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.decontaminate_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

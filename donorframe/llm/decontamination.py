@@ -84,6 +84,15 @@ class ItemIndex:
         return out
 
 
+def item_blocks(wanted: DataFrame, shingle: int, containment: float, block_bytes: int) -> Iterator[ItemIndex]:
+    """Indexes of the items, a block of about block_bytes each."""
+    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = -(-total // block_bytes)
+    for b in range(n_blocks):
+        rows = wanted.where(F.expr(f"pmod(xxhash64(item_id, text), {n_blocks}) = {b}")).collect()
+        yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], shingle, containment)
+
+
 def find_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of documents (doc_id, text) and items (item_id, text) with the item in the document:
     doc_id, item_id, n_item_shingles, n_shared, containment."""
@@ -92,12 +101,8 @@ def find_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contai
     wanted = items.select("item_id", F.col("text").cast("string").alias("text")).where("length(text) > 0")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item_shingles long, n_shared long, containment double"
     item_type = pa.int64() if schema.split("item_id ")[1].startswith(("bigint", "long")) else None
-    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes)
     out = None
-    for b in range(n_blocks):
-        rows = wanted.where(F.expr(f"pmod(xxhash64(item_id, text), {n_blocks}) = {b}")).collect()
-        index = ItemIndex([r[0] for r in rows], [r[1] for r in rows], shingle, containment)
+    for index in item_blocks(wanted, shingle, containment, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -119,3 +124,22 @@ def find_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contai
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with all their columns. Rows with a null id are kept: no finding names them."""
     return docs.join(find_items(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate_rows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that hold no item, with all their columns: each row by its own text, whatever its id."""
+    prepare(docs.sparkSession)
+    wanted = items.select("item_id", F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    out = docs
+    for index in item_blocks(wanted, shingle, containment, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text = batch.column("__text")
+                for a, z in blocks(text):
+                    clean = np.ones(z - a, dtype=bool)
+                    clean[[d for d, _, _ in index.search(Words(*buffers(text.slice(a, z - a)), ALNUM))]] = False
+                    yield batch.slice(a, z - a).filter(pa.array(clean)).drop_columns("__text")
+
+        out = out.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return out

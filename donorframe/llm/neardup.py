@@ -46,8 +46,9 @@ BLOCK = 96
 BLOCK_SHINGLES = 1 << 20
 
 
-def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row per document: key (unique), doc_id, n, set_a, set_b (128 bits that identify the set), sketch."""
+def sets_of(docs: DataFrame, shingle: int, row_key: str | None = None) -> DataFrame:
+    """A row per document: key (unique; row_key of docs where one is named), doc_id, n, set_a, set_b (128 bits that
+    identify the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
@@ -56,13 +57,13 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = Words(*buffers(batch.column(1).slice(a, b - a)), NOT_SPACE).shingle_sets(shingle)
                 ids = np.array([set_key(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(key, key + b - a)), batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), list_array([s[:SKETCH] for s in sets])],
+                    [batch.column(2).slice(a, b - a) if row_key else pa.array(np.arange(key, key + b - a)), batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), list_array([s[:SKETCH] for s in sets])],
                     ["key", "doc_id", "n", "set_a", "set_b", "sketch"],
                 )
                 key += b - a
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"key long, doc_id {id_type}, n long, set_a long, set_b long, sketch array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *([row_key] if row_key else [])).mapInArrow(run, f"key long, doc_id {id_type}, n long, set_a long, set_b long, sketch array<bigint>")
 
 
 def estimate(a: frozenset, b: frozenset) -> float:
@@ -161,14 +162,15 @@ def verify_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     yield edge_batch(forest)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keep_keys: bool = False) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keep_keys: bool = False, row_key: str | None = None) -> DataFrame:
+    """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept. row_key: a unique long column of docs,
+    written once, that becomes the key."""
     # tables that grow with the input are joined by merging at every size: what is small enough to broadcast today is
     # not at scale, and a plan that changes with the size cannot be projected
     spark = docs.sparkSession
     prepare(spark)
     work = Workspace(spark, "neardup")
-    sets = work.keep(sets_of(docs, shingle), "sets")
+    sets = work.keep(sets_of(docs, shingle, row_key), "sets")
     same = ["n", "set_a", "set_b"]
     classes = work.keep(sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
     slim = sets.select("key", "n", "sketch")
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     members = work.keep(candidates.join(classes.select(F.col("rep").alias("node"), *same, "least_id"), "node"), "members")
     stats = work.keep(members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")), "stats")
-    full = work.keep(full_sets(docs, members, shingle), "full")
+    full = work.keep(full_sets(docs, members, shingle, row_key), "full")
     placed = members.join(stats, "comp").select("comp", F.col("node").alias("key"), F.expr("pmod(xxhash64(node), n_blocks)").cast("int").alias("block"), F.expr("explode(sequence(0, n_blocks - 1))").alias("other"))
     tiles = placed.select("comp", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).hint("merge").join(full, "key")
     arranged = tiles.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
@@ -214,11 +216,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", *(["key", "group_key"] if keep_keys else []))
 
 
-def full_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+def full_sets(docs: DataFrame, members: DataFrame, shingle: int, row_key: str | None = None) -> DataFrame:
     """The whole shingle sets of candidate classes: key, values."""
     wanted = members.select(F.col("least_id").alias("doc_id"), F.col("node").alias("key"), "set_a", "set_b")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    both = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "set_a", "set_b", "text")
+    if row_key:
+        both = docs.select(F.col(row_key).alias("key"), F.col("text").cast("string").alias("text")).join(wanted.drop("doc_id").hint("merge"), "key").select("key", "set_a", "set_b", "text")
+    else:
+        both = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "set_a", "set_b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,3 +245,12 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     found = near_duplicates(docs, shingle, percent)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def deduplicate_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all columns: of the rows with the least id the first; null ids come last. Rows
+    without words stay. Rows are told apart by a key that is written once, so ids may be null, repeated or shared."""
+    keyed = Workspace(docs.sparkSession, "deduplicate").keep(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, shingle, percent, keep_keys=True, row_key="__key")
+    first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
+    return keyed.join(first.select(F.col("first.key").alias("__key")).hint("merge"), "__key", "left_semi").select(docs.columns)

@@ -246,6 +246,15 @@ def train(docs: DataFrame, labels: DataFrame | None) -> tuple[HashFilter, dict[i
     return lexicon, posterior, scorer
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, lexicon: HashFilter, posterior: dict[int, float], scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Votes, posterior, score and rejected of every text."""
+    votes = vote(data, offsets, lexicon)
+    score = 1 / (1 + np.exp(-np.clip(scorer.margin(Words(data, offsets, ALNUM), votes), -30, 30)))
+    score[(votes == 0).all(0)] = 0.0
+    post = np.array([posterior.get(int(p), 0.0) for p in pattern(votes)])
+    return votes, post, score, score + post >= 1
+
+
 def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row per document (doc_id, text): doc_id, posterior (of bad, from the votes), score (of bad), rejected, votes
     (a digit per labeller: 0 none, 1 good, 2 bad)."""
@@ -256,14 +265,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             text = batch.column(1)
             for a, b in blocks(text):
-                data, offsets = buffers(text.slice(a, b - a))
-                votes = vote(data, offsets, lexicon)
-                words = Words(data, offsets, ALNUM)
-                score = 1 / (1 + np.exp(-np.clip(scorer.margin(words, votes), -30, 30)))
-                empty = (votes == 0).all(0)
-                score[empty] = 0.0
-                post = np.array([posterior.get(int(p), 0.0) for p in pattern(votes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(post), pa.array(score), pa.array(score + post >= 1), pa.array(["".join(map(str, v)) for v in votes.T])], ["doc_id", "posterior", "score", "rejected", "votes"])
+                votes, post, score, rejected = judge(*buffers(text.slice(a, b - a)), lexicon, posterior, scorer)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(post), pa.array(score), pa.array(rejected), pa.array(["".join(map(str, v)) for v in votes.T])], ["doc_id", "posterior", "score", "rejected", "votes"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, posterior double, score double, rejected boolean, votes string")
@@ -272,3 +275,19 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The documents that are not rejected, with all columns; rows with a null id stay."""
     return docs.join(classify(docs, labels).where("rejected").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_good_rows(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The rows that are not rejected, with all columns: each row by its own text, whatever its id."""
+    prepare(docs.sparkSession)
+    lexicon, posterior, scorer = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("__text")
+            for a, b in blocks(text):
+                data, offsets = buffers(text.slice(a, b - a))
+                rejected = judge(data, offsets, lexicon, posterior, scorer)[3]
+                yield batch.slice(a, b - a).filter(pa.array(~rejected)).drop_columns("__text")
+
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
