@@ -19,15 +19,16 @@ from .sources.readers import CHUNK, derived, first_of_each
 REACH = 30
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant view, with gt and sort keys that make order total."""
+def variants(spark: SparkSession, sf_dir: str, at: str = "pos") -> DataFrame:
+    """The variant view, with gt and sort keys that make order total. at: what refs and alts follow, the position or
+    VARIED."""
     base = lambda x: f"substring('ACGT', 1 + cast(({x}) % 4 as int), 1)"
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "l_orderkey * 10 + l_linenumber AS row_id", "IF(l_linenumber % 2 = 1, 'baseline', 'query') AS side", "1 AS query_id",
         "cast(1 + l_suppkey % 22 AS string) AS chrom", "cast(l_partkey * 50 + (l_suppkey div 22) * 12 AS int) AS pos",
         "CASE l_returnflag WHEN 'A' THEN '0/1' WHEN 'N' THEN '1/1' ELSE '1/2' END AS gt", "cast(round(l_tax * 100) AS int) AS tax", "cast(l_quantity AS int) AS quantity", "l_extendedprice AS qual",
-    ).selectExpr("*", f"{base('pos')} AS ref")
-    alts = f"CASE WHEN tax % 4 = 3 THEN array(concat(ref, {base('pos + 1')})) WHEN gt = '1/2' THEN array({base('pos + 1')}, {base('pos + 2')}) ELSE array({base('pos + 1 + quantity % 3')}) END"
+    ).selectExpr("*", f"{at} AS at").selectExpr("*", f"{base('at')} AS ref")
+    alts = f"CASE WHEN tax % 4 = 3 THEN array(concat(ref, {base('at + 1')})) WHEN gt = '1/2' THEN array({base('at + 1')}, {base('at + 2')}) ELSE array({base('at + 1 + quantity % 3')}) END"
     out = raw.selectExpr("row_id", "side", "query_id", "chrom", "pos", "ref", f"{alts} AS alts", "gt", "gt <> '1/1' AS het", "gt = '0/1' AS zero_one", "qual")
     return derived(out)
 
@@ -208,26 +209,34 @@ query(f", {SNV} SELECT chrom, cluster_no, count(*) AS n, count(*) FILTER (side =
 )
 
 
+#: Hexadecimal digits for 32 positions, a hash; of every four stretches of 128 positions about one is periodic instead, so
+#: gaps that are tandem repeats and gaps that are not both occur.
+DIGITS = "IF(ascii(md5(cast({0} div 4 AS string))) % 4 = 0, repeat('0123', 8), md5(cast({0} AS string)))"
+#: What refs and genome follow instead of the position.
+VARIED = f"instr('0123456789abcdef', substring({DIGITS.format('(pos div 32)')}, 1 + pos % 32, 1)) - 1"
+
+
 def genome(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
-    """The genome that the view's refs come from: base 1 + pos % 4 of ACGT, in chunks. Being periodic it makes every long
-    gap a tandem repeat, which would chain whole chromosomes; the queries below cluster without it and match on it."""
+    """The genome of the view that follows VARIED, in chunks. (That of the plain view is periodic: every long gap would
+    be a tandem repeat, and whole chromosomes one cluster.)"""
     top = variants(spark, sf_dir).agg(F.max("pos").alias("top"))
     ids = top.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("top") + 200) / chunk).cast("int"))).alias("chunk_id"))
     names = spark.range(1, 23).select(F.col("id").cast("string").alias("chrom"))
-    return F.broadcast(names).join(ids).select("chrom", "chunk_id", (F.col("chunk_id") * chunk).cast("int").alias("start"), F.repeat(F.lit("ACGT"), chunk // 4).alias("seq"))
+    digits = f"array_join(transform(sequence(0, {chunk // 32 - 1}), i -> {DIGITS.format(f'(chunk_id * {chunk // 32} + i)')}), '')"
+    bases = ids.select("chunk_id", F.expr(f"translate({digits}, '0123456789abcdef', 'ACGTACGTACGTACGT')").alias("seq"))
+    return F.broadcast(names).join(bases).select("chrom", "chunk_id", (F.col("chunk_id") * chunk).cast("int").alias("start"), "seq")
 
 
 @query()
 def cluster_general(spark, sf_dir):
-    return shown(clustering.cluster(variants(spark, sf_dir)), "side", "cluster_id")
+    return shown(clustering.cluster(variants(spark, sf_dir, VARIED), genome(spark, sf_dir)), "side", "cluster_id")
 
 
 def matching(unit: int, mode: int, scheme: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = genome(spark, sf_dir)
-        cuts = spark.createDataFrame([(0, 0.0)], "t int, qual_min double")
-        found = match_clusters(clustering.cluster(variants(spark, sf_dir)), g, cuts, scorings(unit, mode, scheme))
-        return found.select("cluster_id", "chrom", "pos", "status", "score", "baseline_match", "query_match", "baseline_edits", "query_edits")
+        found = match_clusters(clustering.cluster(variants(spark, sf_dir, VARIED), g), g, cuts(spark, sf_dir), scorings(unit, mode, scheme))
+        return found.select("t", "cluster_id", "chrom", "pos", "status", "score", "baseline_match", "query_match", "baseline_edits", "query_edits")
 
     return run
 
