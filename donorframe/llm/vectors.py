@@ -1,11 +1,16 @@
 """Embedding near-dedup with a hierarchical navigable small-world graph per shard.
 
-Equal vectors of one label are one class. Classes of a label are dealt to shards of about SHARD vectors; a task builds
-each shard's graph. Every class then queries every shard of its label: queries come in blocks of about QUERIES, each with
-a copy of the shard's index, so neither a large label nor a large shard count gathers in one task. An audit scans the whole
-shard for every query and counts its links; the beam of a query with links widens until all of them are found, at the end
-to the whole shard. Found pairs are verified by cosine in double precision; only counts and forests of links leave a
-task.
+Equal vectors of one label are one class. Classes of a label are dealt to shards of at most about SHARD vectors; a task
+builds each shard's graph. Every class then queries every shard of its label that can hold a link of it: queries come in
+blocks of about QUERIES, each with a copy of the shard's index, so neither a large label nor a large shard count gathers
+in one task, and the copies stay a fraction of the queries. An audit scans the whole shard for every query and counts its
+links; the beam of a query with links widens until all of them are found, at the end to the whole shard. Found pairs are
+verified by cosine in double precision; only counts and forests of links leave a task.
+
+Shards are cut along cells: a vector belongs to the nearest of at most PIVOTS sampled vectors. With d the angle of the
+threshold, a vector within d of a query whose nearest pivot is at an angle of a lies in a cell whose pivot is at most
+a + 2 d from the query (twice the triangle inequality), so the cells beyond are skipped without losing a link. Pivots
+decide only how many shards a query visits, never what it finds.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
 link with nothing; vectors of different lengths are not compared; null ids get their component's least id; repeated rows
@@ -14,6 +19,7 @@ are equal vectors; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -28,7 +34,9 @@ from .workspace import Workspace, prepare
 
 COSINE = 0.98
 SHARD = 8192
-QUERIES = 2048
+QUERIES = 16_384
+#: Vectors whose cells shards are cut along; a bounded sample, collected to the driver.
+PIVOTS = 256
 M = 12
 BUILD_BEAM = 48
 BEAM = 64
@@ -220,26 +228,89 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, co
     return found
 
 
-def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def unit_vectors(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Dimension of each vector (0: links with nothing), and by dimension the rows and their unit vectors."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.asarray(column.offsets, dtype=np.int64)
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component becomes nan
+    size = np.diff(offsets)
+    size[~np.asarray(column.is_valid())] = 0
+    dims, out = np.zeros(len(column), dtype=np.int32), {}
+    for d in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == d)
+        x = values[offsets[rows][:, None] + np.arange(d)]
+        # components are scaled by the largest first: no square overflows or vanishes
+        top = np.abs(x).max(1)
+        fine = np.isfinite(top) & (top > 0)
+        rows, x = rows[fine], x[fine] / top[fine, None]
+        dims[rows] = d
+        out[d] = rows, x / np.sqrt((x * x).sum(1))[:, None] + 0.0
+    return dims, out
+
+
+def pick_pivots(table: DataFrame, most: int, shard: int) -> dict[int, np.ndarray]:
+    """At most `most` unit vectors, by dimension; no more than there are whole shards, as smaller cells would save nothing."""
+    n = table.count()
+    most = min(most, n // shard)
+    if not most:
+        return {}
+    some = table.where("label is not null and embedding is not null").where(F.expr(f"pmod(xxhash64(vec_id, label), {max(1, n // (4 * most))}) = 0"))
+    rows = some.select(F.col("embedding").cast("array<double>")).limit(most).collect()
+    _, found = unit_vectors(pa.array([r[0] for r in rows], pa.list_(pa.float64())))
+    return {d: np.unique(x, axis=0) for d, (_, x) in found.items()}
+
+
+def prepared(table: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """A row per vector: key, vec_id, label, dim (0: links with nothing), h1, h2 (128 bits of the unit vector), unit, cell,
+    cells (those that can hold a link)."""
+    reach = 2 * float(np.arccos(cosine)) + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            dims, by_dim = unit_vectors(batch.column("embedding"))
+            h, cell = np.zeros((n, 2), dtype=np.int64), np.zeros(n, dtype=np.int32)
+            units: list = [None] * n
+            cells: list = [None] * n
+            for d, (rows, x) in by_dim.items():
+                for i, v in zip(rows.tolist(), x):
+                    units[i] = v
+                    h[i] = np.frombuffer(hashlib.blake2b(v.tobytes(), digest_size=16).digest(), np.int64)
+                    cells[i] = [0]
+                if len(pivots.get(d, ())):
+                    angle = np.arccos(np.clip(x @ pivots[d].T, -1, 1))
+                    cell[rows] = angle.argmin(1)
+                    near = angle <= angle.min(1, keepdims=True) + reach
+                    for i, c in zip(rows.tolist(), near):
+                        cells[i] = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("vec_id"), batch.column("label"), pa.array(dims), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(units, pa.list_(pa.float64())), pa.array(cell), pa.array(cells, pa.list_(pa.int32()))],
+                ["key", "vec_id", "label", "dim", "h1", "h2", "unit", "cell", "cells"],
+            )
+
+    types = {c: table.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
+    given = table.select(F.monotonically_increasing_id().alias("key"), "vec_id", "label", F.when(F.col("label").isNotNull(), F.col("embedding").cast("array<double>")).alias("embedding"))
+    return given.mapInArrow(run, f"key long, vec_id {types['vec_id']}, label {types['label']}, dim int, h1 long, h2 long, unit array<double>, cell int, cells array<int>")
+
+
+def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES, pivots: int = PIVOTS) -> DataFrame:
     """One row per vector (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
     prepare(spark)
     work = Workspace(spark, "vectors")
-    raw = F.col("embedding").cast("array<double>")
-    # components are scaled by the largest first: no square overflows or vanishes
-    top = F.array_max(F.transform(raw, lambda x: F.abs(x)))
-    fine = raw.isNotNull() & (F.size(raw) > 0) & ~F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (top > 0)
-    scaled = F.transform(raw, lambda x: x / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    rows = table.select(F.monotonically_increasing_id().alias("key"), "vec_id", "label", F.when(F.coalesce(fine, F.lit(False)) & F.col("label").isNotNull(), F.transform(scaled, lambda x: x / length + F.lit(0.0))).alias("unit"))
-    rows = work.keep(rows.withColumn("dim", F.size("unit")).withColumn("h1", F.xxhash64("label", "unit")).withColumn("h2", F.hash("unit", "label")), "rows")
+    rows = work.keep(prepared(table, pick_pivots(table, pivots, shard), cosine), "rows")
     same = ["label", "dim", "h1", "h2"]
-    classes = work.keep(rows.where("unit is not null").groupBy(*same).agg(F.min("key").alias("rep"), F.min("vec_id").alias("least_id"), F.count("*").alias("copies")), "classes")
-    vecs = rows.select(F.col("key").alias("rep"), "unit").join(classes, "rep")
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = work.keep(sizes.select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / queries).cast("int").alias("blocks")), "sizes")
-    vecs = work.keep(vecs.join(sizes, ["label", "dim"]).select("label", "dim", "rep", "copies", "unit", F.expr("pmod(xxhash64(rep), shards)").cast("int").alias("shard"), F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int").alias("block"), "shards", "blocks"), "vecs")
-    place = ["label", "dim", "shard"]
+    classes = work.keep(rows.where("dim > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("vec_id").alias("least_id"), F.count("*").alias("copies")), "classes")
+    vecs = work.keep(rows.select(F.col("key").alias("rep"), "unit", "cell", "cells").join(classes.select("rep", "label", "dim", "copies"), "rep"), "vecs")
+    place = ["label", "dim", "cell"]
+    # long vectors come in smaller shards and blocks, so that bytes and not rows are bounded
+    some = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(128 * most) / F.col("dim")))).cast("int")
+    held = vecs.groupBy(*place).agg(F.count("*").alias("n"))
+    asking = vecs.select("label", "dim", F.explode("cells").alias("cell")).groupBy(*place).agg(F.count("*").alias("q"))
+    sizes = held.join(asking, place).select(*place, F.ceil(F.col("n") / some(shard)).cast("int").alias("shards"), F.ceil(F.col("q") / some(queries)).cast("int").alias("blocks"))
+    sizes = work.keep(sizes, "sizes")
+    place = [*place, "shard"]
     label_type = rows.schema["label"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +321,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, q
             one = group.slice(0, 1)
             yield pa.RecordBatch.from_arrays([*(one[c].combine_chunks() for c in place), one["blocks"].combine_chunks(), pa.array([index.getvalue()], pa.binary())], [*place, "blocks", "index"])
 
-    members = vecs.select(*place, "rep", "copies", "unit", "blocks").repartition(*place).sortWithinPartitions(*place)
-    index = work.keep(members.mapInArrow(build, f"label {label_type}, dim int, shard int, blocks int, index binary"), "index")
+    members = vecs.join(sizes, place[:3]).select(*place[:3], F.expr("pmod(xxhash64(rep), shards)").cast("int").alias("shard"), "rep", "copies", "unit", "blocks")
+    members = members.repartition(*place).sortWithinPartitions(*place)
+    index = work.keep(members.mapInArrow(build, f"label {label_type}, dim int, cell int, shard int, blocks int, index binary"), "index")
 
-    asked = vecs.select("label", "dim", F.expr("explode(sequence(0, shards - 1))").alias("shard"), "block", "rep", "copies", "unit", F.lit(None).cast("binary").alias("index"), F.lit(1).alias("kind"))
-    given = index.select(*place, F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("array<double>").alias("unit"), "index", F.lit(0).alias("kind"))
+    routed = vecs.select("label", "dim", F.explode("cells").alias("cell"), "rep", "unit").join(sizes, place[:3])
+    asked = routed.select(*place[:3], F.expr("explode(sequence(0, shards - 1))").alias("shard"), F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int").alias("block"), "rep", "unit", F.lit(None).cast("binary").alias("index"), F.lit(1).alias("kind"))
+    given = index.select(*place, F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("unit"), "index", F.lit(0).alias("kind"))
     task = [*place, "block"]
     both = given.unionByName(asked).repartition(*task).sortWithinPartitions(*task, "kind")
 
@@ -271,13 +344,15 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, q
             at = np.minimum(np.searchsorted(key[order], reps), len(key) - 1)
             own = np.where(key[order][at] == reps, order[at], -1)
             found = links_of(graph, exact, np.stack(rest["unit"].to_numpy()), own, cosine)
-            count = []
-            for rep, ids in zip(reps.tolist(), found):
+            count = np.zeros(len(reps), dtype=np.int64)
+            root = key.copy()  # of each node; what is out of date still leads to the right root
+            for i, (rep, ids) in enumerate(zip(reps.tolist(), found)):
                 ids = ids[key[ids] != rep]
-                count.append(int(copies[ids].sum()))
-                for other in key[ids].tolist():
+                count[i] = copies[ids].sum()
+                for other in np.unique(root[ids]).tolist():
                     forest.union(rep, other)
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(count, pa.int64()), pa.nulls(len(reps), pa.int64())], ["rep", "n_links", "other"])
+                root[ids] = forest.find(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(count), pa.nulls(len(reps), pa.int64())], ["rep", "n_links", "other"])
         a, b = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b, pa.int64())], ["rep", "n_links", "other"])
 
@@ -288,7 +363,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, q
     of_rep = work.keep(named.join(least, "comp").select(F.col("node").alias("rep"), "component_id"), "of_rep")
     counts = answers.where("n_links is not null").groupBy("rep").agg(F.sum("n_links").alias("links"))
     of_class = work.keep(classes.join(counts, "rep").join(of_rep, "rep", "left").select(*same, (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "of_class")
-    slim = rows.select("vec_id", *same, F.col("unit").isNotNull().alias("fine"))
-    some = slim.where("fine").drop("fine").join(of_class, same).drop(*same)
-    none = slim.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    work.drop(vecs, index, answers)
+    slim = rows.select("vec_id", *same)
+    some = slim.where("dim > 0").join(of_class, same).drop(*same)
+    none = slim.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.expr("coalesce(vec_id = component_id, component_id is null)"))
