@@ -50,7 +50,8 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Strings that the library takes for one token wherever they stand in a text; such texts go to the library.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path.removesuffix(".json") + ".tiktoken", "rb"))}
         # Where no two white-space characters meet and none ends the text, the pattern's look-ahead changes nothing;
         # without it the pattern runs on a plain automaton.
@@ -62,7 +63,7 @@ class ByteEncoder:
 
     def encode(self, text: str) -> bytes:
         # Character classes of the two libraries agree on Latin text; anything else goes to the tokenizers library.
-        if not text.isascii() and _BEYOND_LATIN.search(text):
+        if not text.isascii() and _BEYOND_LATIN.search(text) or any(t in text for t in self.special):
             ids = self.library.encode(text, add_special_tokens=False).ids
         elif _SPACE_RUN.search(text):
             ids = self.exact(text)

@@ -2,9 +2,13 @@
 
 Method: the histogram of piece lengths (at most `capacity` numbers, whatever the corpus size) defines a configuration
 linear program - least number of sequences such that the configurations cover every length's count. Multiplicative
-weights solve it: each step prices a configuration with a knapsack dynamic program over the current weights. The
-fractional solution is rounded down and the rest is placed by best-fit decreasing over the histogram or, where that needs
-fewer sequences, by a bounded subset-sum program from the longest length left. The plan is a table of configurations with multiplicities; every piece finds its place by arithmetic on its
+weights solve it: each step prices a configuration with a knapsack dynamic program over the current weights and takes a
+share of it, until every length is covered, so the solution is feasible. It is rounded down, which leaves a smaller
+histogram; the program of that one is solved and rounded, and so on. Weights start near the dual prices of the volume
+bound (a length's price is its length); where the plan misses that bound, they start at prices learned by steps that may
+cover any length again and again, and the better plan counts. Full configurations are taken first, ever less full
+ones only where no fuller ones are left. What no rounding takes in the end (a handful of pieces) is placed by best-fit
+decreasing. The plan is a table of configurations with multiplicities; every piece finds its place by arithmetic on its
 rank among the pieces of its length, so no task holds more than a batch of pieces.
 
 Defined cases: a null or empty text is the end token alone (one piece of length 1); a null id stays null; repeated rows
@@ -29,79 +33,81 @@ CAPACITY = 1024
 END = 2
 #: Steps of the multiplicative-weights solver.
 STEPS = 300
+#: How fast weights fall with coverage, and how much more than in proportion the longest length weighs at first.
+RATE = 0.5
+LONG_FIRST = 0.5
+#: How fast weights move while prices are learned.
+LEARNING = 3.0
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
-def price(weights: np.ndarray) -> dict[int, int]:
-    """The configuration of greatest total weight (unbounded knapsack); weights[k - 1] is that of length k."""
-    capacity = len(weights)
+def price(values: np.ndarray, most: np.ndarray) -> dict[int, int]:
+    """The configuration of greatest total value (bounded knapsack); values[k - 1] is that of length k, of which there may
+    be most[k - 1]."""
+    capacity = len(values)
     best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        value = best[c - 1 :: -1] + weights[:c]
-        k = int(value.argmax())
-        if value[k] > best[c - 1]:
-            best[c], took[c] = value[k], k + 1
-        else:
-            best[c] = best[c - 1]
+    taken = []
+    for length in (np.flatnonzero(most)[::-1] + 1).tolist():
+        left, k = min(int(most[length - 1]), capacity // length), 1
+        while left > 0:
+            n = min(k, left)  # n of a length at a time, for n of 1, 2, 4, ...
+            other = best[: capacity + 1 - n * length] + n * values[length - 1]
+            better = other > best[n * length :]
+            if better.any():
+                taken.append((length, n, better))
+                best[n * length :] = np.where(better, other, best[n * length :])
+            left, k = left - n, 2 * k
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if k := int(took[c]):
-            out[k] = out.get(k, 0) + 1
-        c -= k or 1
+    for length, n, better in reversed(taken):
+        if c >= n * length and better[c - n * length]:
+            out[length] = out.get(length, 0) + n
+            c -= n * length
     return out
 
 
-def relax(hist: dict[int, int], capacity: int, steps: int = STEPS) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional multiplicities of configurations: every step adds an equal share of the volume bound to the
-    configuration that is priced best while the prices of well covered lengths fall exponentially."""
+def learn_prices(need: np.ndarray, start: np.ndarray, share: float, steps: int) -> np.ndarray:
+    """Prices of lengths, the mean of the later steps' weights: they rise where a length is covered less than the others."""
+    covered, total = np.zeros(len(need)), np.zeros(len(need))
+    for t in range(steps):
+        values = np.where(need > 0, start * np.exp(-LEARNING * (covered / np.maximum(need, 1) - t / steps)), 0)
+        config = price(values, need)
+        for length, a in config.items():
+            covered[length - 1] += a * share
+        if t >= steps // 2:
+            total += values / sum(values[k - 1] * a for k, a in config.items())
+    return total / (steps - steps // 2) + 1e-9 * start
+
+
+def relax(hist: dict[int, int], capacity: int, steps: int = STEPS, learned: bool = False) -> dict[tuple[tuple[int, int], ...], float]:
+    """A feasible fractional solution: multiplicities of configurations that cover every length's count.
+
+    A length's weight falls exponentially with the part of it that is covered; a covered length has none. The weights
+    start a little above proportion to the length for long ones, which are the hardest to place, or at learned prices. A
+    step is as wide as the volume bound's share, or half of what its configuration can still cover if that is more.
+    """
     need = np.zeros(capacity)
     for length, n in hist.items():
         need[length - 1] = n
-    some = need > 0
-    share = float(need.dot(np.arange(1, capacity + 1))) / capacity / steps
+    lengths = np.arange(1, capacity + 1)
+    prior = lengths * (1 + LONG_FIRST * lengths / capacity)
+    share = max(1.0, float(need.dot(lengths)) / capacity / steps)
+    if learned:
+        prior = learn_prices(need, prior, share, steps)
     covered = np.zeros(capacity)
     x: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(steps):
-        weights = np.full(capacity, -np.inf)
-        weights[some] = np.exp(-4 * covered[some] / need[some]) / need[some]
-        config = price(weights)
+    while (short := covered < need).any():
+        values = np.where(short, prior * np.exp(-RATE * covered / np.maximum(need, 1)), 0)
+        config = price(values, np.where(short, np.ceil((need - covered) / share), 0))
+        step = max(share, np.floor(min((need - covered)[k - 1] / a for k, a in config.items()) / 2))
         key = tuple(sorted(config.items(), reverse=True))
-        x[key] = x.get(key, 0.0) + share
+        x[key] = x.get(key, 0.0) + step
         for length, a in config.items():
-            covered[length - 1] += a * share
+            covered[length - 1] += a * step
     return x
 
 
-def fill(left: dict[int, int], capacity: int) -> dict[int, int]:
-    """The fullest configuration with the longest length left in it, by a bounded subset-sum program over bit sets."""
-    longest = max(left)
-    room = capacity - longest
-    items: list[tuple[int, int]] = []
-    for length in sorted(left, reverse=True):
-        have = min(left[length] - (length == longest), room // length)
-        k = 1
-        while have > 0:
-            items.append((length, min(k, have)))
-            have -= k
-            k *= 2
-    sums, seen, mask = 1, [], (1 << (room + 1)) - 1
-    for length, k in items:
-        seen.append(sums)
-        sums |= (sums << (length * k)) & mask
-        if sums >> room & 1:
-            break
-    goal = sums.bit_length() - 1
-    out = {longest: 1}
-    for (length, k), before in zip(reversed(items[: len(seen)]), reversed(seen)):
-        if not before >> goal & 1:
-            out[length] = out.get(length, 0) + k
-            goal -= length * k
-    return out
-
-
 def best_fit(left: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over a histogram: sequences that hold the same are one group with a multiplicity, so the work
     depends on the numbers of lengths and gaps and not on the number of pieces."""
@@ -129,36 +135,31 @@ def best_fit(left: dict[int, int], capacity: int) -> Plan:
     return [(tuple(sorted(c.items(), reverse=True)), k) for gs in groups.values() for c, k in gs]
 
 
-def _apply(config: dict[int, int], times: int, left: dict[int, int], plan: Plan) -> None:
-    for length, a in config.items():
-        left[length] -= a * times
-        if not left[length]:
-            del left[length]
-    plan.append((tuple(sorted(config.items(), reverse=True)), times))
+def round_off(hist: dict[int, int], capacity: int, steps: int, learned: bool) -> Plan:
+    left, plan, waste = dict(hist), [], 0
+    size = lambda config: sum(k * a for k, a in config)
+    while waste < capacity and sum(k * n for k, n in left.items()) >= 2 * capacity:
+        before = len(plan)
+        for config, x in sorted(relax(left, capacity, steps, learned).items(), key=lambda c: (-size(c[0]), -c[1])):
+            times = min(int(x + 1e-9), *(left.get(k, 0) // a for k, a in config))
+            if times > 0 and size(config) >= capacity - waste:
+                for k, a in config:
+                    left[k] -= a * times
+                    if not left[k]:
+                        del left[k]
+                plan.append((config, times))
+        if len(plan) == before:
+            waste = 2 * waste + 1
+    return plan + (best_fit(left, capacity) if left else [])
 
 
 def make_plan(hist: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
     """Configurations with multiplicities that use up the histogram exactly."""
-    best: Plan = []
-    fractional = relax({k: v for k, v in hist.items() if v}, capacity, steps) if any(hist.values()) else {}
-    for relaxed, rest in ((True, best_fit), (True, fill), (False, best_fit), (False, fill)):
-        left, plan = {k: v for k, v in hist.items() if v}, []
-        if relaxed and left:
-            for config, x in sorted(fractional.items(), key=lambda c: -sum(k * a for k, a in c[0])):
-                if sum(k * a for k, a in config) < capacity:
-                    continue  # what such a configuration wastes is for the filler to save
-                times = min(int(x), *(left.get(k, 0) // a for k, a in config))
-                if times > 0:
-                    _apply(dict(config), times, left, plan)
-        if rest is best_fit:
-            plan += best_fit(left, capacity)
-            left = {}
-        while left:
-            config = fill(left, capacity)
-            _apply(config, min(left[k] // a for k, a in config.items()), left, plan)
-        if not best or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-    return best
+    hist = {k: v for k, v in hist.items() if v}
+    count = lambda plan: sum(n for _, n in plan)
+    plan = round_off(hist, capacity, steps, False)
+    bound = -(-sum(k * n for k, n in hist.items()) // capacity)
+    return plan if count(plan) <= 1.002 * bound + 2 else min(plan, round_off(hist, capacity, steps, True), key=count)
 
 
 class Slots:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from donorframe.llm.counting import count_spliced, count_tokens
 from donorframe.llm.encoders import byte_encoder, piece_counter
-from donorframe.llm.packing import CAPACITY, fill, make_plan, pack
+from donorframe.llm.packing import CAPACITY, make_plan, pack, price, relax
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  ", "a  b", " a", "a ", "a\n b", "▁a ▁b", "x" * 3000, "日本語 テキスト  です", "<s> </s> [INST] <|endoftext|> hi", "a\tb \tc", "it's  we'll\r\n ok", "é 😀😀 😀", "\x1c a \x1d b", "1 2  3   4", "▁", "a ▁", "\x00 \x00a", "“q” – x…"]
@@ -23,7 +23,7 @@ def odd_texts(n: int) -> list[str]:
 
 def test_ids_equal_the_library():
     encoder = byte_encoder(BYTES)
-    for t in odd_texts(500):
+    for t in odd_texts(500) + [f"{a}<|endoftext|>{b}" for a in ("", "x ", "日本 ") for b in ("", " y", "  ")]:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
 
 
@@ -72,15 +72,27 @@ def test_plan_small_against_known_optimum():
     assert sum(t for _, t in make_plan({342: 1000, 341: 500, 683: 300})) == 850
     assert sum(t for _, t in make_plan({600: 3, 424: 3, 1024: 2})) == 5
     assert make_plan({}) == []
-    assert fill({500: 2, 24: 1}, CAPACITY) == {500: 2, 24: 1}
+    lengths = np.arange(1, CAPACITY + 1)
+    assert price(lengths.astype(float), np.isin(lengths, [500, 24]) * np.where(lengths == 500, 2, 1)) == {500: 2, 24: 1}
+
+
+def test_the_relaxation_is_feasible_and_near_the_bound():
+    rng = np.random.default_rng(9)
+    hist = {int(a): int(b) for a, b in zip(*np.unique(np.minimum(CAPACITY, rng.geometric(1 / 300, 50_000)), return_counts=True))}
+    x = relax(hist, CAPACITY)
+    got = defaultdict(float)
+    for config, times in x.items():
+        for k, a in config:
+            got[k] += a * times
+    assert all(got[k] >= n for k, n in hist.items())
+    assert sum(x.values()) <= 1.05 * sum(k * n for k, n in hist.items()) / CAPACITY
 
 
 def test_pack_reads_back(spark):
-    texts = [None, "", "a b c", "a b c", "tok " * 3000, "é" * 700, "x y " * 511 + "z"] + [f"word{i} " * (i % 60) for i in range(200)]
+    texts = [None, "", "a b c", "a b c", "tok " * 3000, "é" * 700, "x y " * 511 + "z", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> é 日本"] + [f"word{i} " * (i % 60) for i in range(200)]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(3)
     rows = pack(df, with_ids=True).collect()
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
