@@ -3,7 +3,8 @@
 Method: the histogram of piece lengths (at most `capacity` numbers, whatever the corpus size) defines a configuration
 linear program - least number of sequences such that the configurations cover every length's count. Multiplicative
 weights solve it: each step prices a configuration with a knapsack dynamic program over the current weights and takes a
-share of it, until every length is covered, so the solution is feasible. It is rounded down, which leaves a smaller
+share of it, until every length is covered, so the solution is feasible (not optimal: the last steps cover what is left
+with configurations that are not full). It is rounded down, which leaves a smaller
 histogram; the program of that one is solved and rounded, and so on. Weights start near the dual prices of the volume
 bound (a length's price is its length); where the plan misses that bound, they start at prices learned by steps that may
 cover any length again and again, and the better plan counts. Full configurations are taken first, ever less full
@@ -85,7 +86,8 @@ def relax(hist: dict[int, int], capacity: int, steps: int = STEPS, learned: bool
 
     A length's weight falls exponentially with the part of it that is covered; a covered length has none. The weights
     start a little above proportion to the length for long ones, which are the hardest to place, or at learned prices. A
-    step is as wide as the volume bound's share, or half of what its configuration can still cover if that is more.
+    step is as wide as the volume bound's share, or half of what its configuration can still cover if that is more, and no
+    wider than any of its lengths needs.
     """
     need = np.zeros(capacity)
     for length, n in hist.items():
@@ -100,7 +102,8 @@ def relax(hist: dict[int, int], capacity: int, steps: int = STEPS, learned: bool
     while (short := covered < need).any():
         values = np.where(short, prior * np.exp(-RATE * covered / np.maximum(need, 1)), 0)
         config = price(values, np.where(short, np.ceil((need - covered) / share), 0))
-        step = max(share, np.floor(min((need - covered)[k - 1] / a for k, a in config.items()) / 2))
+        useful = [(need - covered)[k - 1] / a for k, a in config.items()]
+        step = min(max(share, np.floor(min(useful) / 2)), max(useful))
         key = tuple(sorted(config.items(), reverse=True))
         x[key] = x.get(key, 0.0) + step
         for length, a in config.items():
