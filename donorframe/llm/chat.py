@@ -54,10 +54,22 @@ def render(turns: DataFrame) -> DataFrame:
     return by_conv.select("conv_id", F.array_join(F.transform("turns", lambda t: t["all"]), "").alias("formatted"), F.aggregate("turns", zero, step, lambda acc: acc.spans).alias("examples"))
 
 
+def expand(rendered: DataFrame, *more: str) -> DataFrame:
+    """One row per assistant turn of render()'s conversations: conv_id, turn, prefix_chars, loss_start, loss_chars, reply
+    (what stands under the example's loss mask, unescaped), and more columns. A conversation without such a turn has one
+    row of nulls."""
+    one = lambda e: F.struct(e["turn"].alias("turn"), e["prefix_chars"].alias("prefix_chars"), e["loss_start"].alias("loss_start"), e["loss_chars"].alias("loss_chars"), unescape(F.substr("formatted", e["loss_start"].cast("int") + 1, e["loss_chars"].cast("int"))).alias("reply"))
+    return rendered.select("conv_id", *more, F.explode_outer(F.transform("examples", one)).alias("e")).select("conv_id", *more, "e.*")
+
+
 def examples(turns: DataFrame, texts: bool = False) -> DataFrame:
-    """One row per assistant turn: conv_id, turn, prefix_chars, loss_start, loss_chars[, formatted]."""
-    out = render(turns).select("conv_id", "formatted", F.explode("examples").alias("e")).select("conv_id", "e.*", "formatted")
-    return out.withColumn("formatted", F.left("formatted", F.col("prefix_chars").cast("int"))) if texts else out.drop("formatted")
+    """One row per assistant turn: conv_id, turn, prefix_chars, loss_start, loss_chars, reply[, formatted: the context (all
+    turns before) and the reply]."""
+    rendered = render(turns)
+    out = expand(rendered, *(["formatted"] if texts else [])).where("turn is not null")
+    if not texts:
+        return out
+    return out.withColumn("formatted", F.left("formatted", F.col("prefix_chars").cast("int")))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -71,12 +83,12 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """Checksums of what the formatted conversations hold, read back from them."""
-    back = read_back(render(turns))
+    """Checksums of what the formatted conversations hold: turns are read back from them, trained texts from the exploded
+    examples, each from its own."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join("trained", "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"),
-    )
+    told = ["n_turns", "turns_sha256", "formatted_chars"]
+    back = read_back(render(turns)).select("conv_id", "formatted", "examples", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    rows = expand(back, *told).withColumn("target", F.when(F.col("turn").isNotNull(), F.struct("turn", "reply")))
+    by_conv = rows.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in told], F.array_sort(F.collect_list("target")).alias("targets"))
+    loss = F.array_join(F.transform("targets", lambda t: t["reply"]), "")
+    return by_conv.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", F.size("targets").cast("long").alias("n_examples"))
