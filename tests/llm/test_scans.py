@@ -1,7 +1,7 @@
 import random
 import re
 
-from donorframe.llm.decontamination import decontaminate, find_items
+from donorframe.llm.decontamination import decontaminate, find_items, sketches, sure_hits
 from donorframe.llm.licenses import BASE, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -37,12 +37,34 @@ def test_items_equal_brute_force(spark):
     want = sorted((x or -1, y, len(shingles(s)), len(shingles(s) & shingles(t))) for x, t in docs for y, s in items if shingles(s) and len(shingles(s) & shingles(t)) >= 0.8 * len(shingles(s)))
     got = sorted((r.doc_id or -1, r.item_id, r.n_item_shingles, r.n_shared) for r in find_items(d, b).collect())
     assert got == want and len(want) > 20
-    assert sorted((r.doc_id or -1, r.item_id, r.n_item_shingles, r.n_shared) for r in find_items(d, b, block_bytes=2000).collect()) == want
+    assert sorted((r.doc_id or -1, r.item_id, r.n_item_shingles, r.n_shared) for r in find_items(d.repartition(7), b.repartition(5)).collect()) == want
     dirty = {x for x, *_ in want if x != -1}
     assert sorted(r.doc_id or -1 for r in decontaminate(d, b).collect()) == sorted(x or -1 for x, _ in docs if x not in dirty)
     assert find_items(d, b.limit(0)).count() == 0 and find_items(d.limit(0), b).count() == 0
 
 
+def test_items_with_a_common_phrase_and_long_documents(spark):
+    rng = random.Random(4)
+    phrase = "which of the following statements about this question is surely true and which of them is not"
+    items = [(i, f"{phrase} " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.choice([1, 12, 60, 500])))) for i in range(150)]
+    filler = " ".join(f"f{i % 977}" for i in range(30_000))
+    docs = [(i, f"{filler} {items[i][1]} {filler}") for i in range(3)] + [(10 + i, f"{phrase} {i} nothing else") for i in range(300)]
+    docs += [(1000, " ".join(t for _, t in items))] + [(2000 + i, items[i][1][: len(items[i][1]) * 3 // 4]) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sets = [(y, shingles(s)) for y, s in items]
+    want = sorted((x, y, len(s), len(s & has)) for x, t in docs for has in [shingles(t)] for y, s in sets if len(s & has) >= 0.8 * len(s))
+    assert sorted(map(tuple, find_items(d, b).drop("containment").collect())) == want and len(want) > 150
+
+
+def test_a_sketch_is_smaller_than_its_set_and_misses_nothing(spark):
+    rng = random.Random(6)
+    sets = spark.createDataFrame([(n, sorted({rng.randrange(-(2**62), 2**62) for _ in range(n)})) for n in range(1, 400)], "item_key long, values array<bigint>").selectExpr("item_key", "item_key AS item_id", "item_key AS n", "values")
+    for r in sketches(sets, 0.8).groupBy("item_key", "need").count().collect():
+        n, lacking = r.item_key, r.item_key - -(-8 * r.item_key // 10)
+        assert r["count"] <= min(64, n if n < 10 else 0.7 * n) and lacking < n
+        assert 1 <= r.need <= max(r["count"] - lacking, sure_hits(64, 0.8))
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(5)
     bits = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC", "cc by nc cc by nc", "under the", "mit", "license", "version 3", "words", "é", "\n", "This work is licensed under the GNU General Public License, version 3."]
