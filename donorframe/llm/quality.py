@@ -6,11 +6,21 @@ pattern's posterior; posterior labels of a bounded sample train a linear scorer
 scorer's probability and the posterior decide on every document by their mean. One labeller is a lexicon of words and word beginnings that tell toxic documents, found
 in a bounded sample of labelled rows.
 
-Bounds (documented parameters): LABELLED labelled rows for the lexicon, TRAINED rows for the scorer, 2 ** BITS weights. Vote patterns are counted over all documents, and all documents are scored as a whole.
+The lexicon is the one labeller that is supervised: it learns from the column `toxic` of the labelled rows. All others
+are rules.
 
-Defined cases: a null or empty text gets no votes and is kept; null ids and repeated rows are scored one by one; without
-labelled rows the lexicon is empty; an empty table gives no rows; other columns are ignored by classify() and kept by
-keep_good().
+The model has two priors. A labeller's false votes have a Beta prior of mean FALSE_VOTES that counts as much as all
+documents: with the votes alone, a labeller that nobody else supports could as well be the one that errs. And bad
+documents come in kinds that different labellers see: where one votes bad the silence of the others says nothing, where
+none does the silence of all that may is evidence for good. The silence of those that vote good says nothing.
+
+Bounds (documented parameters): LABELLED labelled documents for the lexicon, TRAINED rows of WORDS words for the scorer,
+2 ** BITS weights. Vote patterns are counted over all documents, and all documents are scored as a whole.
+
+Defined cases: a null or empty text gets no votes and is kept; null ids and repeated rows are scored one by one; labels
+of one id count as one (toxic if any says so), those without an id not at all; without labelled rows the lexicon is
+empty; very long texts are measured in segments of bounded memory; an empty table gives no rows; other columns are
+ignored by classify() and kept by keep_good() and keep_good_rows().
 """
 
 from __future__ import annotations
@@ -28,14 +38,14 @@ from .workspace import prepare
 #: The first seven vote bad or nothing, the others good or nothing.
 LABELLERS = ["symbols", "shouting", "bare_marks", "exclaiming", "stuttering", "looping", "toxic_words", "ordinary_form", "ordinary_words"]
 BAD_VOTERS = 7
-#: Prior share of good documents that a labeller votes bad on.
+#: Prior mean of the share of good documents that a labeller votes bad on.
 FALSE_VOTES = 0.001
-#: Most that the posterior of a document without any bad vote can be.
-QUIET = 0.05
 LABELLED = 20_000
 #: Different toxic texts that an entry has to be in, and that it has to be the first to cover.
 SUPPORT, COVERED = 6, 3
 TRAINED = 6_000
+#: Words of a training row, evenly spaced where a text has more; TRAINED * WORDS numbers come to the driver at most.
+WORDS = 2_000
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 
@@ -121,16 +131,15 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> tuple[
             for v in range(3):
                 table[:, c, v] = ((votes == v) * weight).sum(1) + 0.5
         table /= table.sum(2, keepdims=True)
-        # prior of a labeller's accuracy, as strong as the corpus: without it a lone vote would say nothing of itself
         share_good = float((n * (1 - bad)).sum() / n.sum())
         table[:BAD_VOTERS, 0, 2] = (table[:BAD_VOTERS, 0, 2] * share_good + FALSE_VOTES) / (share_good + 1)
         # a labeller is no worse than chance: its bad votes speak for bad, its good votes for good
         odds = np.log(table[:, 1] / table[:, 0])
+        silence = np.minimum(odds[:BAD_VOTERS, 0], 0).sum()
         odds[:, 0], odds[:, 1], odds[:, 2] = 0, np.minimum(odds[:, 1], 0), np.maximum(odds[:, 2], 0)
         margin = np.log(prior / (1 - prior)) + sum(odds[i, votes[i]] for i in range(len(LABELLERS)))
+        margin += np.where((votes != 2).all(0), silence, 0)
         bad = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        # nobody speaks against such a document: the absence of good votes alone does not condemn it
-        bad[(votes != 2).all(0)] = np.minimum(bad[(votes != 2).all(0)], QUIET)
         bad[(votes == 0).all(0)] = 0
     return {int(p): float(b) for p, b in zip(patterns, bad)}, table
 
@@ -138,8 +147,9 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 60) -> tuple[
 def find_lexicon(docs: DataFrame, labels: DataFrame) -> HashFilter:
     """Words and word beginnings of toxic documents: those in hardly any other labelled document, picked by the number
     of different toxic texts that they are the first to cover."""
-    n = labels.count()
-    sample = labels.where(F.expr(f"pmod(xxhash64(doc_id), {max(1, -(-n // LABELLED))}) = 0")).select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    by_id = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    n = by_id.count()
+    sample = by_id.where(F.expr(f"pmod(xxhash64(doc_id), {max(1, -(-n // LABELLED))}) = 0")).limit(LABELLED)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame | None) -> tuple[HashFilter, dict[i
     counts = {r[0]: r[1] for r in slim.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()}
     posterior, _ = expectation_maximisation(counts) if counts else ({}, None)
     total = sum(counts.values())
-    # the training rows: at most TRAINED by expectation, spread by their texts' hash
-    some = slim.where(F.expr(f"pmod(xxhash64(text), {max(1, -(-total // TRAINED))}) = 0"))
+    # the training rows: spread by row, so copies of a text are drawn one by one
+    some = slim.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-total // TRAINED)))) == 0)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +248,10 @@ def train(docs: DataFrame, labels: DataFrame | None) -> tuple[HashFilter, dict[i
                 words = Words(data, offsets, ALNUM)
                 bucket = Scorer.bucket(words).astype(np.int32)
                 p = pattern(vote(data, offsets, lexicon))
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([bucket[x:y].tobytes() for x, y in zip(words.first[:-1], words.first[1:])], pa.binary())], ["pattern", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([bucket[x : y : max(1, -(-(y - x) // WORDS))].tobytes() for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())], pa.binary())], ["pattern", "words"])
 
     scorer = Scorer()
-    rows = [(np.frombuffer(r[1], np.int32), np.array([(r[0] // 3**i) % 3 for i in range(len(LABELLERS))]), posterior.get(r[0], 0.0)) for r in some.mapInArrow(examples, "pattern long, words binary").toLocalIterator()]
+    rows = [(np.frombuffer(r[1], np.int32), np.array([(r[0] // 3**i) % 3 for i in range(len(LABELLERS))]), posterior.get(r[0], 0.0)) for r in some.mapInArrow(examples, "pattern long, words binary").limit(TRAINED).toLocalIterator()]
     scorer.fit(rows)
     return lexicon, posterior, scorer
 
@@ -273,7 +283,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The documents that are not rejected, with all columns; rows with a null id stay."""
+    """The documents that are not rejected, with all columns. A finding names an id: rows that share it go with it, and
+    rows with a null id stay; see keep_good_rows()."""
     return docs.join(classify(docs, labels).where("rejected").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
