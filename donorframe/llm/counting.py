@@ -1,24 +1,27 @@
 """Token counts of whole texts.
 
-Method: overlap resynchronisation. A text longer than `chunk` characters is cut into chunks that overlap; each is encoded
-on its own with the offsets of its stable boundaries (spaces that no piece of the model can cross). Neighbouring chunks
-are spliced at the first boundary that both have inside their overlap; where they have none the overlap is doubled, up
-to the rest of the text, so the count always equals that of encoding the text in one go.
-
-Defined cases: a null or empty text has 0 bytes and 0 tokens; null ids and repeated rows are kept as they are; an empty
+Method: overlap resynchronisation. A text longer than `chunk` characters is cut into chunks that overlap; the library
+encodes each on its own and gives the offsets of its tokens. Two neighbouring chunks are spliced at the first stable
+boundary at which a token of both begins: a single space between two characters that are neither white space nor the
+model's space mark. No piece of the model holds its space mark after another character (checked when it is loaded), so no
+token of the whole text crosses such a space, and what stands on either side is encoded the same in the chunks as in the
+whole. Where neighbours have no such token in common the overlap is doubled, up to the rest of the text, so the count
+always equals that of encoding the text in one go. Shorter texts are one chunk; their counts are sums over the parts
+between stable boundaries, which a bounded cache keeps.
+
+Defined cases: texts of any length count whole; a null or empty text has 0 bytes and 0 tokens; null ids and repeated rows are kept as they are; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoders import PieceCounter, piece_counter, split_parts
+from .encoders import PieceCounter, piece_counter, stable_boundaries
 from .workspace import prepare
 
 CHUNK = 32_768
@@ -27,13 +30,13 @@ LIMIT = 4096
 
 
 class Chunk:
-    """text[a:b] encoded on its own: where its parts start, and how many tokens come before each."""
+    """text[a:b] encoded on its own: its number of tokens, and those before each stable boundary at which one begins."""
 
     def __init__(self, counter: PieceCounter, text: str, a: int, b: int):
-        parts = split_parts(text[a:b])
-        self.starts = list(accumulate((len(p) + 1 for p in parts[:-1]), initial=a))
-        self.before = list(accumulate(map(counter.cache.__getitem__, parts), initial=0))
-        self.index = {p: i for i, p in enumerate(self.starts)}
+        begins = counter.begins(text[a:b])
+        self.size = len(begins)
+        first = {p: i for i, p in reversed(list(enumerate(begins)))}  # several tokens of one character begin together
+        self.before = {p: first[p - a] for p in stable_boundaries(text, a, b) if p - a in first}
 
 
 def count_spliced(counter: PieceCounter, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -44,8 +47,7 @@ def count_spliced(counter: PieceCounter, text: str, chunk: int = CHUNK, overlap:
     while b < n:
         start = a + chunk
         following = Chunk(counter, text, start, min(n, start + chunk + overlap))
-        # the first part of the later chunk and the last of the earlier one may be cut off: neither counts as common
-        common = next((p for p in following.starts[1:] if p < b and p in now.index), None)
+        common = next((p for p in following.before if p < b and p in now.before), None)
         if common is None:
             wider = max(2 * (b - start), overlap)
             b = min(n, start + wider)
@@ -53,10 +55,10 @@ def count_spliced(counter: PieceCounter, text: str, chunk: int = CHUNK, overlap:
             if b > start + chunk:  # wider than the later chunk: start that one further on
                 chunk = b - a
             continue
-        total += now.before[now.index[common]] - skip
-        skip = following.before[following.index[common]]
+        total += now.before[common] - skip
+        skip = following.before[common]
         a, now, b = start, following, min(n, start + chunk + overlap)
-    return total + now.before[-1] - skip
+    return total + now.size - skip
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 
 CACHE = 800_000
 _INNER_SPACE = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
@@ -27,6 +28,12 @@ def split_parts(text: str) -> list[str]:
     return text.split(" ")
 
 
+def stable_boundaries(text: str, a: int, b: int) -> list[int]:
+    """Positions of text inside (a, b) of single spaces between two characters that are neither white space nor the model's
+    space mark."""
+    return [m.start() for m in _INNER_SPACE.finditer(text, a, b) if a < m.start() < b - 1]
+
+
 class _Cache(dict):
     def __init__(self, make):
         super().__init__()
@@ -97,6 +104,16 @@ class PieceCounter:
         return sum(map(self.cache.__getitem__, split_parts(text)))
 
 
+    def begins(self, text: str) -> list[int]:
+        """The character at which each token of the text begins."""
+        pieces = self.model.encode(text, return_type="proto").pieces
+        if text.isascii():
+            return [p.begin for p in pieces]
+        # the library counts bytes
+        at = np.cumsum([0, *(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)])
+        return (np.searchsorted(at, [p.begin for p in pieces], "right") - 1).tolist()
+
+
 @lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)

@@ -48,6 +48,16 @@ def test_count_tokens_cases(spark):
     assert count_tokens(df.limit(0)).count() == 0
 
 
+def test_long_texts_are_spliced(spark):
+    rng = random.Random(7)
+    bits = ["river ", "bent ", "é ", "日本 ", "x" * 50 + " ", "<s> ", "▁ ", "  ", "\n", "1984, ", "😀 "]
+    texts = ["".join(rng.choice(bits) for _ in range(40_000)), "y" * 120_000, "ab " * 50_000, "".join(rng.choice(bits[:4]) for _ in range(60_000)), ("z" * 40_000 + " ") * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = piece_counter(PIECES).model
+    assert all(len(t) > 100_000 for t in texts)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(df).collect()} == {i: (len(t.encode()), len(model.encode(t))) for i, t in enumerate(texts)}
+
+
 def covered(plan):
     got = defaultdict(int)
     for config, times in plan:
