@@ -86,7 +86,7 @@ class BitTable:
     """Which of many hashes may belong to a set of any size; at most 2 ** TABLE_BITS bits."""
 
     def __init__(self, values: DataFrame):
-        bits = min(TABLE_BITS, max(16, math.ceil(math.log2(16 * max(1, values.count())))))
+        bits = min(TABLE_BITS, max(16, math.ceil(math.log2(4096 * max(1, values.count())))))
         self.mask = (1 << bits) - 1
         at = F.col("v").bitwiseAND(F.lit(self.mask))
         words = values.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 63 as int))")).alias("bits")).toPandas()
