@@ -2,13 +2,16 @@
 
 Every document's rolling word 3-gram hashes are joined in Spark to the positions of the same hashes in the templates;
 votes are counted by offset diagonal (document position less template position), neighbouring diagonals are merged, and
-a span is verified by the share of the template's grams it holds in order. A base phrase stands exactly where one
-diagonal has the votes of all its grams. Before the join, Python drops grams that occur in no template (the join's own
-semi-join filter, exact); templates are a constant of this module, so broadcasting them is bounded.
+spans are verified. A hit counts only if its three words are those of the template, byte by byte; the score of a span is
+the share of the template's gram positions that it holds, each position once, however often the document repeats a gram.
+Order needs no test of its own: diagonals of a span are at most NEIGHBOUR apart from the next, so hits stand as in the
+template but for a few words inserted or left out. A base phrase stands exactly where one diagonal has the votes of all
+its grams. Before the join, Python drops grams that occur in no template (the join's own semi-join filter, exact);
+templates are a constant of this module, so broadcasting them is bounded.
 
 Words are runs of lower-cased ASCII letters and digits and non-ASCII characters.
 
-Defined cases: a null or empty text has no words and no labels; rows with null or repeated ids are scanned one by one;
+Defined cases: a null or empty text has no words and no labels; very long texts are hashed in segments of bounded memory; rows with null or repeated ids are scanned one by one;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -65,9 +68,21 @@ def template_grams() -> list[tuple[int, int, int, int, str, bool]]:
     return out
 
 
+def gram_words() -> dict[int, list[bytes]]:
+    """The words of every gram of the templates, by its hash."""
+    out = {}
+    for text, _ in BASE + TEMPLATES:
+        g, at = Words(*buffers(pa.array([text])), ALNUM).grams(GRAM)
+        out |= {int(x): [w.encode() for w in text.split(" ")[p : p + GRAM]] for x, p in zip(g, at)}
+    return out
+
+
 def scan_words(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     """A row per document: key (unique), doc_id, n_words, hits (position and hash of grams that templates have)."""
-    filtered = HashFilter(grams.view(np.uint64))
+    filtered, told = HashFilter(grams.view(np.uint64)), gram_words()
+
+    def same(words: Words, first: int, gram: int) -> bool:
+        return all(words.data[words.start[i] : words.end[i]].tobytes().lower() == w for i, w in enumerate(told[gram], first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
@@ -77,6 +92,7 @@ def scan_words(docs: DataFrame, grams: np.ndarray) -> DataFrame:
                 words = Words(*buffers(text.slice(a, b - a)), ALNUM)
                 g, at = words.grams(GRAM)
                 k, _ = filtered.find(g)
+                k = k[np.fromiter((same(words, i, x) for i, x in zip(at[k].tolist(), g[k].tolist())), bool, len(k))]
                 doc = words.doc[at[k]]
                 cut = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
                 hits = pa.StructArray.from_arrays([pa.array(at[k] - words.first[doc], pa.int64()), pa.array(g[k].view(np.int64))], ["pos", "gram"])
@@ -88,11 +104,11 @@ def scan_words(docs: DataFrame, grams: np.ndarray) -> DataFrame:
 
 
 def vote(spark: SparkSession, scanned: DataFrame) -> DataFrame:
-    """Votes per document, template and diagonal."""
+    """Votes per document, template and diagonal; held: a bit for each gram position (templates have fewer than 64)."""
     grams = spark.createDataFrame(template_grams(), "gram long, template int, at long, n_grams int, label string, base boolean")
     hits = scanned.where(F.size("hits") > 0).select("key", F.explode("hits").alias("hit")).select("key", F.col("hit.pos").alias("pos"), F.col("hit.gram").alias("gram"))
     joined = hits.join(F.broadcast(grams), "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    return joined.groupBy("key", "template", "label", "base", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    return joined.groupBy("key", "template", "label", "base", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.bit_or(F.expr("shiftleft(1L, cast(at AS int))")).alias("held"), F.min("pos").alias("low"), F.max("pos").alias("high"))
 
 
 def merge(votes: DataFrame) -> DataFrame:
@@ -101,12 +117,12 @@ def merge(votes: DataFrame) -> DataFrame:
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= NEIGHBOUR, 0).otherwise(1)
     runs = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("key", "template", "label", "base", "n_grams", "run").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + GRAM).alias("end"),
+        F.bit_count(F.bit_or("held")).alias("held"), F.min("low").alias("start"), (F.max("high") + GRAM).alias("end"),
         F.sum(F.when(F.col("votes") == F.col("n_grams"), 1).otherwise(0)).alias("full"),
         F.min(F.when(F.col("votes") == F.col("n_grams"), F.col("diagonal"))).alias("first_full"),
         F.max(F.when(F.col("votes") == F.col("n_grams"), F.col("diagonal"))).alias("last_full"),
     )
-    return spans.withColumn("score", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
+    return spans.withColumn("score", F.col("held") / F.col("n_grams"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

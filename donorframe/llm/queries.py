@@ -146,10 +146,10 @@ tpl AS (SELECT t, label, base, string_split(phrase, ' ') AS ws FROM (VALUES {row
 tg AS (SELECT t, label, base, len(ws) - {GRAM - 1} AS n, i, {gram} AS g FROM tpl, range(0, len(ws) - {GRAM - 1}) r(i)),
 pos AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {GRAM - 1}, 0))) AS i FROM d WHERE len(ws) >= {GRAM}),
 dg AS (SELECT doc_id, i, {gram} AS g FROM pos),
-v AS (SELECT doc_id, t, label, base, n, dg.i - tg.i AS diag, count(*) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
+v AS (SELECT doc_id, t, label, base, n, dg.i - tg.i AS diag, count(*) AS votes, bit_or(CAST(1 AS BIGINT) << tg.i) AS held FROM dg JOIN tg USING (g) GROUP BY ALL),
 f AS (SELECT *, CASE WHEN diag - lag(diag) OVER o <= {NEIGHBOUR} THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, t ORDER BY diag)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY diag ROWS UNBOUNDED PRECEDING) AS run FROM f),
-s AS (SELECT doc_id, t, label, base, least(1.0::DOUBLE, sum(votes)::DOUBLE / n) AS score, count(*) FILTER (votes = n) AS fulls,
+s AS (SELECT doc_id, t, label, base, bit_count(bit_or(held))::DOUBLE / n AS score, count(*) FILTER (votes = n) AS fulls,
   min(diag) FILTER (votes = n) AS lo, max(diag) FILTER (votes = n) AS hi FROM r GROUP BY doc_id, t, label, base, n, run),
 k AS (SELECT * FROM s WHERE (base AND fulls > 0) OR (NOT base AND score >= {COVERAGE})),
 a AS (SELECT doc_id, CAST(coalesce(sum(fulls) FILTER (base), 0) AS BIGINT) AS n_base, CAST(min(lo) FILTER (base) AS BIGINT) AS first_word, CAST(max(hi) FILTER (base) AS BIGINT) AS last_word,

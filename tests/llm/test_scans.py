@@ -2,7 +2,7 @@ import random
 import re
 
 from donorframe.llm.decontamination import decontaminate, find_items, sketches, sure_hits
-from donorframe.llm.licenses import BASE, scan_licenses
+from donorframe.llm.licenses import BASE, merge, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -83,3 +83,13 @@ def test_licenses_equal_brute_force(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(1, "x This work is licensed under the GNU General Public License, version 3. y"), (2, "plain text without any")], "doc_id long, text string")).collect()}
     assert "gpl-3" in by[1].labels and by[1].base_labels == "" and by[2].labels == "" and by[2].score == 0
+
+
+def test_a_position_of_a_template_counts_once(spark):
+    # two neighbouring diagonals vote for the same three of ten positions
+    votes = spark.createDataFrame([(1, 4, "x", False, 10, d, 3, 0b111, 5, 9) for d in (5, 6, 7)] + [(2, 4, "x", False, 10, d, 3, m, 5, 9) for d, m in ((5, 0b111), (7, 0b111000))], "key long, template int, label string, base boolean, n_grams int, diagonal long, votes long, held long, low long, high long")
+    assert {r.key: r.score for r in merge(votes).collect()} == {1: 0.3, 2: 0.6}
+    text = " ".join(["redistribution and use"] * 40)
+    rows = scan_licenses(spark.createDataFrame([(1, text), (2, "word " * 60_000 + "CC by-NC"), (3, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.labels) for r in rows} == {1: (120, ""), 2: (60_003, "cc-by-nc"), 3: (0, "")}
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
