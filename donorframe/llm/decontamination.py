@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, Words, blocks, buffers, list_array
+from .textcore import ALNUM, Words, blocks, buffers, list_array, text_key
 from .workspace import Workspace, prepare
 
 SHINGLE = 5
@@ -128,12 +128,6 @@ def hits_of(docs: DataFrame, in_sketches: BitTable, in_sets: BitTable, shingle:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *text_key()).mapInArrow(run, f"doc_key long, doc_id {id_type}, t1 long, t2 long, values array<bigint>")
 
 
-def text_key() -> list:
-    """128 bits that stand for a text."""
-    text = F.col("text").cast("string")
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
-
-
 def search(docs: DataFrame, items: DataFrame, shingle: int, containment: float) -> DataFrame:
     """doc_id, t1, t2, item_id, n_item_shingles, n_shared of all pairs whose containment is reached."""
     prepare(docs.sparkSession)

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SEGMENT = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -208,3 +210,9 @@ def list_array(parts: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def text_key() -> list[Column]:
+    """128 bits that stand for a row's text: columns t1 and t2."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]

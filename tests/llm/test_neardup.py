@@ -87,3 +87,27 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(edges)
     got = dict(components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[3001] == 2951 and got[7000] == 7000
+
+
+def test_ten_thousand_null_ids_and_a_passage_in_every_text(spark):
+    rng = random.Random(12)
+    common = "a passage of seven words stands everywhere"
+    texts = []
+    for i in range(5000):
+        w = [f"u{rng.randrange(10**7)}" for _ in range(40)]
+        texts.append(f"{common} {' '.join(w)}")
+        w[-1] = "changed"
+        texts.append(f"{common} {' '.join(w)}")
+    texts += [f"{common} {' '.join(texts[2 * i].split()[7:12])}" for i in range(300)]  # little besides the passage
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = near_duplicates(df, keep_keys=True).groupBy("group_key").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in got} == {2: 5000, 1: 300}
+
+
+def test_one_long_text_and_a_large_family(spark):
+    rng = random.Random(13)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(60_000))
+    base = [f"b{i}" for i in range(200)]
+    rows = [(1, long), (2, long + " end")] + [(10 + i, " ".join(base[: 199 - i % 4] + [f"x{i}"])) for i in range(700)] + [(5000, " ".join(base[::-1]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1} | {10 + i: 10 for i in range(700)} | {5000: 5000}
