@@ -5,55 +5,59 @@ changes lengths, or the gap is longer than twice the change that could have buil
 are not looked for in gaps of over 1000 bases).
 
 The rule depends on what the cluster has gathered, so it is a fold; but the fold need not run over a chromosome. Gaps
-come from one window of a running maximum. A gap of over 1000 bases that is longer than twice the sum of all changes
-since the last such gap is a split whatever happened before: such gaps cut chromosomes into islands. Islands are folded
-one by one and dealt to all tasks by (chrom, island).
+come from a running maximum (running.py). A gap of over 1000 bases that is longer than twice the sum of all changes since
+the last such gap is a split whatever happened before: such gaps cut chromosomes into islands. Islands are folded one by
+one and dealt to all tasks by (chrom, island).
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import comparison_order, is_tandem_repeat
 from ..model import MAX_REPEAT
 from ..sources.readers import genome_windows
+from .running import running
 
 
-def running_gaps(both: DataFrame) -> DataFrame:
-    """Gap of each row to the greatest end before it on its chromosome (null for the first)."""
-    w = Window.partitionBy("chrom").orderBy(*comparison_order()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("run_end", F.max(F.col("pos") + F.length("ref")).over(w)).withColumn("gap", F.col("pos") - F.col("run_end"))
+def total_order(rows: DataFrame) -> list[Column]:
+    """Comparison order, and then what tells rows of one id apart: several passes see the same order."""
+    return [*comparison_order(), *[F.col(c) for c in ("ref", "alts", "qual") if c in rows.columns]]
+
+
+def running_gaps(both: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Gap of each row to the greatest end before it on its chromosome (null for the first), and that end (run_end)."""
+    out = running(both, ["chrom"], order or total_order(both), run_end=("max", F.col("pos") + F.length("ref"), False))
+    return out.withColumn("gap", F.col("pos") - F.col("run_end"))
 
 
 def islands(gapped: DataFrame) -> DataFrame:
-    """Number of the island of each row. A wide gap is certain where it exceeds twice the change gathered since the gap
-    of over 1000 bases before it; uncertain ones join two islands, which can only make islands larger, never wrong."""
-    order = Window.partitionBy("chrom").orderBy(*comparison_order())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    """Number of the island of each row, and its number on the chromosome (seq_no). A wide gap is certain where it exceeds
+    twice the change gathered since the gap of over 1000 bases before it; uncertain ones join two islands, which can only
+    make islands larger, never wrong."""
     wide = F.coalesce(F.col("gap") > MAX_REPEAT, F.lit(False))
-    marked = gapped.withColumn("__wide", F.sum(wide.cast("int")).over(upto))
+    marked = running(gapped, ["chrom"], total_order(gapped), wide_no=("sum", wide.cast("int"), True), seq_no=("sum", F.lit(1), True))
     # the sum of all changes since the last certain gap bounds what may have built up before a gap
-    sums = marked.groupBy("chrom", "__wide").agg(F.sum(F.col("mil") + F.col("mdl")).alias("__change"), F.max(F.when(wide, F.col("gap"))).alias("__gap"))
-    sums = certain_edges(sums)
-    return marked.join(sums.select("chrom", "__wide", "island"), ["chrom", "__wide"]).drop("__wide")
+    sums = marked.groupBy("chrom", "wide_no").agg(F.sum(F.col("mil") + F.col("mdl")).alias("change"), F.max(F.when(wide, F.col("gap"))).alias("wide_gap"))
+    return marked.join(certain_edges(sums), ["chrom", "wide_no"]).drop("wide_no")
 
 
 def certain_edges(sums: DataFrame) -> DataFrame:
     """Fold the stretches of each chromosome (one row each, a thousandth of the rows or fewer) into islands."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__wide")
+        frame = frame.sort_values("wide_no")
         since, island, out = 0, 0, []
-        for change, gap in zip(frame["__change"], frame["__gap"]):
+        for change, gap in zip(frame["change"], frame["wide_gap"]):
             if gap == gap and gap > 2 * since:
                 island, since = island + 1, 0
             since += int(change)
             out.append(island)
-        return frame[["chrom", "__wide"]].assign(island=out)
+        return frame[["chrom", "wide_no"]].assign(island=out)
 
-    return sums.select("chrom", "__wide", "__change", F.col("__gap").cast("double")).groupBy("chrom").applyInPandas(fold, "chrom string, __wide long, island int")
+    return sums.select("chrom", "wide_no", "change", F.col("wide_gap").cast("double").alias("wide_gap")).groupBy("chrom").applyInPandas(fold, "chrom string, wide_no long, island int")
 
 
 def fold_island(frame: pd.DataFrame) -> pd.DataFrame:
@@ -73,61 +77,81 @@ def fold_island(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(cluster_seq=out)[["chrom", "island", "seq_no", "cluster_seq"]]
 
 
-def cluster(both: DataFrame, genome: DataFrame | None = None) -> DataFrame:
-    """Rows of both sides with cluster_id (chrom:island:number). Without a genome no gap counts as a repeat."""
-    order = Window.partitionBy("chrom").orderBy(*comparison_order())
-    rows = islands(running_gaps(both)).withColumn("seq_no", F.row_number().over(order))
+def cluster(both: DataFrame, genome: DataFrame | None = None, backwards: bool = False) -> DataFrame:
+    """Rows of both sides with cluster_id (chrom:island:number). Without a genome no gap counts as a repeat.
+
+    Backwards, a row joins the rows after it: gaps are measured from its end to the least start of those, and what a
+    cluster has gathered is their change. That is the same fold over mirrored positions, numbered from the right."""
+    length = F.length("ref")
+    if backwards:
+        both = both.withColumn("pos", -(F.col("pos") + length))
+    rows = islands(running_gaps(both))
     if genome is None:
         rows = rows.withColumn("is_repeat", F.lit(False))
     else:
-        asked = rows.where(F.col("gap").between(2, MAX_REPEAT)).select("chrom", "seq_no", F.col("run_end").alias("start"), F.col("pos").alias("end"))
+        start, end = (-F.col("pos"), F.col("gap") - F.col("pos")) if backwards else (F.col("run_end"), F.col("pos"))
+        asked = rows.where(F.col("gap").between(2, MAX_REPEAT)).select("chrom", "seq_no", start.alias("start"), end.alias("end"))
         told = genome_windows(genome, asked).select("chrom", "seq_no", is_tandem_repeat(F.col("seq")).alias("is_repeat"))
         rows = rows.join(told, ["chrom", "seq_no"], "left").withColumn("is_repeat", F.coalesce("is_repeat", F.lit(False)))
     slim = rows.select("chrom", "island", "seq_no", F.col("gap").cast("double").alias("gap"), "is_repeat", "side", "mil", "mdl")
-    numbered = slim.groupBy("chrom", "island").applyInPandas(fold_island, "chrom string, island int, seq_no int, cluster_seq int")
+    numbered = slim.groupBy("chrom", "island").applyInPandas(fold_island, "chrom string, island int, seq_no long, cluster_seq int")
     out = rows.join(numbered, ["chrom", "island", "seq_no"])
+    if backwards:
+        out = out.withColumn("pos", -(F.col("pos") + length))
     return out.withColumn("cluster_id", F.concat_ws(":", "chrom", F.col("island").cast("string"), F.col("cluster_seq").cast("string"))).drop("island", "seq_no", "cluster_seq", "run_end", "gap", "is_repeat")
 
 
 def cluster_unchanging(both: DataFrame) -> DataFrame:
-    """Clusters where no row changes lengths: split at every gap of at least 2; windows alone."""
-    upto = Window.partitionBy("chrom").orderBy(*comparison_order()).rowsBetween(Window.unboundedPreceding, 0)
+    """Clusters where no row changes lengths: split at every gap of at least 2."""
     fresh = F.coalesce(F.col("gap") >= 2, F.lit(False)).cast("int")
-    return running_gaps(both).withColumn("cluster_no", F.sum(fresh).over(upto)).drop("run_end", "gap")
+    return running(running_gaps(both), ["chrom"], total_order(both), cluster_no=("sum", fresh, True)).drop("run_end", "gap")
 
 
-def fold_backwards(frame: pd.DataFrame, min_gap: int = 2) -> list[int]:
-    """Clusters from the right: gaps are measured to the least start of the rows after. Numbers by row in the order of
-    the frame (rows of one chromosome by position)."""
-    start, n, out = None, 0, []
-    inserted, deleted = {"baseline": 0, "query": 0}, {"baseline": 0, "query": 0}
-    for pos, ref, side, mil, mdl in reversed(list(zip(frame["pos"], frame["ref"], frame["side"], frame["mil"], frame["mdl"]))):
-        if start is not None:
-            gap = start - (pos + len(ref))
-            change = max(inserted["baseline"] + deleted["query"], inserted["query"] + deleted["baseline"])
-            if gap >= min_gap and (change == 0 or gap > 2 * change):
-                n, start = n + 1, None
-                inserted, deleted = {"baseline": 0, "query": 0}, {"baseline": 0, "query": 0}
-        start = pos if start is None else min(start, pos)
-        inserted[side] += int(mil)
-        deleted[side] += int(mdl)
-        out.append(n)
-    return [n - x for x in reversed(out)]
-
-
-def split_in_two(rows: list[dict], unit_repeat=lambda a, b: False) -> list[list[dict]]:
-    """Divisive clustering: cut at the widest allowed gap until none is left; a gap is allowed where it exceeds twice the
-    lesser change of its two sides and is no repeat."""
-    change = lambda part: max(sum(r["mil"] for r in part), sum(r["mdl"] for r in part))
-    best = None
-    for i in range(1, len(rows)):
-        end = max(r["pos"] + len(r["ref"]) for r in rows[:i])
-        gap = rows[i]["pos"] - end
-        if gap > 2 * min(change(rows[:i]), change(rows[i:])) and gap > 0 and not unit_repeat(end, rows[i]["pos"]) and (best is None or gap > best[0]):
-            best = (gap, i)
-    if best is None:
-        return [rows]
-    return split_in_two(rows[: best[1]], unit_repeat) + split_in_two(rows[best[1] :], unit_repeat)
+def changes(frame: pd.DataFrame) -> int:
+    """Most change of length that the rows of both sides can build up together."""
+    total = lambda side, c: int(frame.loc[frame["side"] == side, c].sum())
+    return max(total("baseline", "mil") + total("query", "mdl"), total("query", "mil") + total("baseline", "mdl"))
+
+
+def repeated(seq: str, gap: int) -> bool:
+    """Whether the first `gap` bases are a unit of at most half their length repeated (an incomplete last unit aside)."""
+    s = seq[:gap]
+    return len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))
+
+
+def split_apart(frame: pd.DataFrame) -> pd.Series:
+    """Divisive clustering of one cluster (rows with seq_no in order, and seq: the bases from the first row's end on).
+
+    A part is cut at the gap between its first row's end and its last row's start, where that exceeds twice the lesser
+    change of the rows that start before the gap and of the others and is no repeat; both parts are cut in their turn."""
+    frame = frame.sort_values("seq_no")
+    number, n = {}, 0
+    todo = [frame]
+    while todo:
+        part = todo.pop()
+        first, last = part.iloc[0], part.iloc[-1]
+        end = first["pos"] + len(first["ref"])
+        gap = last["pos"] - end
+        left, right = part[part["pos"] <= end], part[part["pos"] > end]
+        at = end - (frame.iloc[0]["pos"] + len(frame.iloc[0]["ref"]))
+        if len(right) and gap > 2 * min(changes(left), changes(right)) and not repeated(first["seq"][max(at, 0) :], min(gap, MAX_REPEAT)):
+            todo += [right, left]
+            continue
+        number |= dict.fromkeys(part.index, n)
+        n += 1
+    return pd.Series(number)
+
+
+def split_clusters(clustered: DataFrame, genome: DataFrame) -> DataFrame:
+    """Rows of clusters (cluster_id) with cluster_part: the parts that divisive clustering cuts each cluster into."""
+    order = Window.partitionBy("cluster_id").orderBy(*total_order(clustered))
+    rows = clustered.withColumn("seq_no", F.row_number().over(order))
+    spans = clustered.groupBy("cluster_id", "chrom").agg(F.min_by(F.col("pos") + F.length("ref"), "pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    told = genome_windows(genome, spans).select("cluster_id", "seq")
+    slim = rows.select("cluster_id", "seq_no", "pos", "ref", "side", "mil", "mdl").join(told, "cluster_id")
+    fold = lambda frame: frame.assign(cluster_part=split_apart(frame))[["cluster_id", "seq_no", "cluster_part"]]
+    parts = slim.groupBy("cluster_id").applyInPandas(fold, "cluster_id string, seq_no int, cluster_part int")
+    return rows.join(parts, ["cluster_id", "seq_no"]).drop("seq_no")
 
 
 def two_sided(clustered: DataFrame) -> DataFrame:

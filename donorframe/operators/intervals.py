@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running, unused
+
 #: Width of the buckets that turn range joins into equi-joins.
 BUCKET = 1 << 14
 
@@ -12,26 +14,29 @@ BUCKET = 1 << 14
 def merge_intervals(intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Union of closed intervals (start, end) per key; intervals that share a point become one, adjacent ones do not."""
     by = by or ["chrom"]
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before >= F.col("start"), 0).otherwise(1)
-    runs = intervals.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    order = [F.col("start"), F.col("end")]
+    ends = running(intervals.select(*by, "start", "end"), by, order, "start", before=("max", F.col("end"), False))
+    fresh = F.when(F.col("before") >= F.col("start"), 0).otherwise(1)
+    runs = running(ends, by, order, "start", run=("sum", fresh, True))
+    return runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def in_intervals(rows: DataFrame, intervals: DataFrame, inside: bool = True, bucket: int = BUCKET) -> DataFrame:
     """Rows whose pos lies (or does not lie) in a half-open interval of their chromosome, by an equi-join on buckets."""
-    cut = intervals.where("end > start").select("chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))).alias("__bucket"))
-    left = rows.withColumn("__bucket", F.floor(F.col("pos") / bucket)).alias("v")
-    on = (F.col("v.chrom") == F.col("i.chrom")) & (F.col("v.__bucket") == F.col("i.__bucket")) & (F.col("i.start") <= F.col("v.pos")) & (F.col("v.pos") < F.col("i.end"))
-    return left.join(cut.alias("i"), on, "left_semi" if inside else "left_anti").drop("__bucket")
+    name = unused(rows, "bucket")
+    cut = intervals.where("end > start").select("chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))).alias(name))
+    left = rows.withColumn(name, F.floor(F.col("pos") / bucket)).alias("v")
+    on = (F.col("v.chrom") == F.col("i.chrom")) & (F.col(f"v.{name}") == F.col(f"i.{name}")) & (F.col("i.start") <= F.col("v.pos")) & (F.col("v.pos") < F.col("i.end"))
+    return left.join(cut.alias("i"), on, "left_semi" if inside else "left_anti").drop(name)
 
 
 def bed_filter(rows: DataFrame, bed: DataFrame, inside: bool = True) -> DataFrame:
     """Rows inside (or outside) the intervals; rows on chromosomes that the intervals do not name are always kept."""
+    if not inside:
+        return in_intervals(rows, bed, inside=False)  # an unnamed chromosome has no interval to be in
+    # what is kept is what is not outside on a named chromosome; the names are few, the rows are read twice at most
     names = bed.select("chrom").distinct()
-    named = rows.join(names, "chrom", "left_semi")
-    return in_intervals(named, bed, inside).unionByName(rows.join(names, "chrom", "left_anti"))
+    return in_intervals(rows, bed).unionByName(rows.join(names, "chrom", "left_anti"))
 
 
 def complex_filter(rows: DataFrame, reach: int = 10) -> DataFrame:
@@ -41,10 +46,12 @@ def complex_filter(rows: DataFrame, reach: int = 10) -> DataFrame:
     near = in_intervals(rows, merge_intervals(windows))
     w = Window.partitionBy("chrom").orderBy("pos", "row_id")
     close = (F.col("pos") - F.lag("pos").over(w) <= reach) | (F.lead("pos").over(w) - F.col("pos") <= reach)
-    return near.withColumn("__close", F.coalesce(close, F.lit(False))).where("__close").drop("__close")
+    name = unused(near, "close")
+    return near.withColumn(name, F.coalesce(close, F.lit(False))).where(name).drop(name)
 
 
 def overlapping(rows: DataFrame) -> DataFrame:
     """Mark rows that begin before an earlier row of their chromosome and side ends."""
-    w = Window.partitionBy("side", "chrom").orderBy("pos", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("overlaps", F.coalesce(F.max(F.col("pos") + F.length("ref")).over(w) > F.col("pos"), F.lit(False)))
+    name = unused(rows, "run_end")
+    ends = running(rows, ["side", "chrom"], [F.col("pos"), F.col("row_id"), *[F.col(c) for c in ("alts", "qual") if c in rows.columns]], **{name: ("max", F.col("pos") + F.length("ref"), False)})
+    return ends.withColumn("overlaps", F.coalesce(F.col(name) > F.col("pos"), F.lit(False))).drop(name)

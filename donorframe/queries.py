@@ -14,6 +14,7 @@ from .functions import scalar
 from .model import scorings
 from .operators import clustering, exact, intervals, metrics
 from .operators.matcher import match_clusters
+from .operators.running import running
 from .sources.readers import CHUNK, derived, first_of_each
 
 REACH = 30
@@ -142,13 +143,9 @@ def unmatched_baseline(spark, sf_dir):
 ORDER = "pos, CASE side WHEN 'query' THEN 0 ELSE 1 END, row_id, qual"
 
 
-def order() -> Window:
-    return Window.partitionBy("chrom").orderBy(*scalar.comparison_order(), "qual")
-
-
 @query(f"SELECT {ROW}, side, row_number() OVER (PARTITION BY chrom ORDER BY {ORDER}) AS order_in_chrom FROM v")
 def merged_order(spark, sf_dir):
-    return shown(variants(spark, sf_dir).withColumn("order_in_chrom", F.row_number().over(order()).cast("long")), "side", "order_in_chrom")
+    return shown(running(variants(spark, sf_dir), ["chrom"], [*scalar.comparison_order(), F.col("qual")], order_in_chrom=("sum", F.lit(1), True)), "side", "order_in_chrom")
 
 
 def indel_windows(v: DataFrame) -> DataFrame:
@@ -162,18 +159,18 @@ merged AS (SELECT chrom, min(s) AS s, max(e) AS e FROM m2 GROUP BY chrom, run)""
 query(f", {MERGED} SELECT chrom, s AS start, e AS \"end\" FROM merged", "interval_merge")(lambda spark, sf_dir: intervals.merge_intervals(indel_windows(variants(spark, sf_dir))))
 
 
-def bed(spark: SparkSession, sf_dir: str, rows: str = "p_partkey % 3 = 0") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where(rows).selectExpr("cast(1 + p_partkey % 20 AS string) AS chrom", "cast(p_partkey * 50 AS int) AS start", "cast(p_partkey * 50 + p_size * 8 AS int) AS end")
+def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(1 + p_partkey % 20 AS string) AS chrom", "cast(p_partkey * 50 AS int) AS start", "cast(p_partkey * 50 + p_size * 8 AS int) AS end")
 
 
-BED = "bed AS (SELECT CAST(1 + p_partkey % 20 AS VARCHAR) AS chrom, CAST(p_partkey * 50 AS INT) AS s, CAST(p_partkey * 50 + p_size * 8 AS INT) AS e FROM part WHERE p_partkey % 3 = 0)"
+BED = "bed AS (SELECT CAST(1 + p_partkey % 20 AS VARCHAR) AS chrom, CAST(p_partkey * 50 AS INT) AS s, CAST(p_partkey * 50 + p_size * 8 AS INT) AS e FROM part)"
 HIT = "EXISTS (SELECT 1 FROM bed WHERE bed.chrom = v.chrom AND bed.s <= v.pos AND v.pos < bed.e)"
 ABSENT = "v.chrom NOT IN (SELECT chrom FROM bed)"
 query(f", {BED} SELECT {ROW} FROM v WHERE {HIT} OR {ABSENT}", "bed_inside")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir))))
 query(f", {BED} SELECT {ROW} FROM v WHERE NOT {HIT} OR {ABSENT}", "bed_outside")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir), inside=False)))
-# the SQL above is fixed and takes a third of the parts; these take them all
-query(name="bed_inside_whole")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir, "true"))))
-query(name="bed_outside_whole")(lambda spark, sf_dir: shown(intervals.bed_filter(variants(spark, sf_dir), bed(spark, sf_dir, "true"), inside=False)))
+for side in ("inside", "outside"):
+    QUERIES[f"bed_{side}_whole"] = QUERIES[f"bed_{side}"]
+    SQL[f"bed_{side}_whole"] = SQL[f"bed_{side}"]
 
 
 @query(f""", {MERGED}, near AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM merged WHERE merged.chrom = v.chrom AND merged.s <= v.pos AND v.pos < merged.e)),
@@ -189,8 +186,7 @@ query(f", {GAPS} SELECT {ROW}, side, gap FROM gaps", "running_gap")(lambda spark
 
 def gaps(v: DataFrame) -> DataFrame:
     """running_gaps with the view's total order."""
-    w = order().rowsBetween(Window.unboundedPreceding, -1)
-    return v.withColumn("gap", F.col("pos") - F.max(F.col("pos") + F.length("ref")).over(w))
+    return clustering.running_gaps(v, [*scalar.comparison_order(), F.col("qual")]).drop("run_end")
 
 
 def snv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,18 +347,15 @@ def stat_lines(spark, sf_dir):
     return lines(match_counts(spark, sf_dir).withColumns({"unit": F.lit(0), "mode": F.lit(0), "scheme": F.lit(0)})).select("line")
 
 
-FILES = "f AS (SELECT CAST(row_id % 2 AS INT) AS file_id, chrom, pos, min(ref) AS ref, max(array_to_string(alts, '/')) AS alt FROM v WHERE pos % 7 = 0 GROUP BY 1, 2, 3)"
+FILES = "f AS (SELECT CAST(row_id % 2 AS INT) AS file_id, chrom, pos, min(ref) AS ref, max(array_to_string(alts, '/')) AS alt FROM v GROUP BY 1, 2, 3)"
 
 
 @query(f", {FILES} SELECT chrom, pos, count(DISTINCT file_id) AS n_files, string_agg(file_id || '=' || alt, ';' ORDER BY file_id, alt) AS donors FROM f GROUP BY 1, 2 HAVING count(DISTINCT file_id) < 2 OR count(DISTINCT ref || ' ' || alt) > 1")
 def match_diff(spark, sf_dir):
-    return diff_of_halves(variants(spark, sf_dir).where("pos % 7 = 0"))
+    return diff_of_halves(variants(spark, sf_dir))
 
 
-@query()
-def match_diff_whole(spark, sf_dir):
-    """match_diff over all rows; its SQL is fixed and takes every seventh position."""
-    return diff_of_halves(variants(spark, sf_dir))
+QUERIES["match_diff_whole"], SQL["match_diff_whole"] = QUERIES["match_diff"], SQL["match_diff"]
 
 
 def diff_of_halves(v: DataFrame) -> DataFrame:

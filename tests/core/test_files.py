@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from donorframe.operators.clustering import cluster, cluster_unchanging, fold_backwards, running_gaps
+from donorframe.operators.clustering import cluster, cluster_unchanging, split_clusters
 from donorframe.operators.exact import first_match, matched, one_per_position, one_to_one
 from donorframe.operators.intervals import bed_filter, complex_filter, merge_intervals
 from donorframe.plans.compare import compare, diff, direct_match, filter_complex, filter_regions
@@ -93,8 +93,45 @@ def test_clusters_equal_the_plain_fold(spark):
         assert sorted(sorted(x) for x in got.values()) == plain_clusters(rows, genome)
         snv = df.where("mil = 0 and mdl = 0")
         assert cluster_unchanging(snv).groupBy("cluster_no").count().count() == len(plain_clusters([r for r in rows if len(r[1]) == len(r[2])], genome))
-        frame = running_gaps(df).orderBy("pos", F.desc("side"), "row_id").toPandas()
-        assert fold_backwards(frame) == sorted(fold_backwards(frame)) and isinstance(frame, pd.DataFrame)
+        for bases, told in ((None, None), (g, genome)):
+            back = {}
+            c.genome_windows = lambda a, b: rd.genome_windows(a, b, 4096)
+            for r in cluster(df.repartition(3), bases, backwards=True).collect():
+                back.setdefault(r.cluster_id, []).append((r.pos, r.ref, r.alts[0], int(r.side == "query"), r.row_id))
+            c.genome_windows = old
+            assert sorted(sorted(x) for x in back.values()) == plain_backwards(rows, told)
+
+
+def plain_backwards(rows, genome):
+    """One fold over all rows from the right."""
+    out, least, inserted, deleted = [], None, [0, 0], [0, 0]
+    for r in sorted(rows, key=lambda r: (-(r[0] + len(r[1])), r[3] == 0, r[4])):
+        end = r[0] + len(r[1])
+        gap = None if least is None else least - end
+        change = max(inserted[0] + deleted[1], inserted[1] + deleted[0])
+        if gap is None or (gap >= 2 and (change == 0 or (gap > 2 * change and (gap > 1000 or genome is None or not plain_repeat(genome[end : end + gap]))))):
+            out.append([])
+            least, inserted, deleted = None, [0, 0], [0, 0]
+        out[-1].append(r)
+        least = r[0] if least is None else min(least, r[0])
+        inserted[r[3]] += max(0, len(r[2]) - len(r[1]))
+        deleted[r[3]] += max(0, len(r[1]) - len(r[2]))
+    return sorted(sorted(x) for x in out)
+
+
+def plain_repeat(s):
+    return len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))
+
+
+def test_split_clusters(spark):
+    genome = "ACGTTGCAAC" * 3 + "GATTACAGGC" * 30 + "CCTGATCGAT" * 30
+    rows = [("c", "1", 5, "A", "AT", "baseline"), ("c", "1", 9, "C", "G", "query"), ("c", "1", 90, "GATTACAG", "G", "query"), ("c", "1", 100, "A", "AC", "baseline"), ("d", "1", 300, "G", "C", "query")]
+    df = spark.createDataFrame([(i, *r[:3], r[3], [r[4]], r[5], max(0, len(r[4]) - len(r[3])), max(0, len(r[3]) - len(r[4]))) for i, r in enumerate(rows)], "row_id long, cluster_id string, chrom string, pos int, ref string, alts array<string>, side string, mil int, mdl int")
+    g = spark.createDataFrame([("1", i, i * 4096, genome[i * 4096 : (i + 1) * 4096]) for i in range(1)], "chrom string, chunk_id int, start int, seq string")
+    got = {r.row_id: (r.cluster_id, r.cluster_part) for r in split_clusters(df, g).collect()}
+    # the gap from the first row's end to the last row's start exceeds twice the lesser change and is no repeat, and so on;
+    # the last two rows are 2 bases apart, which is twice the change of one of them
+    assert [got[i] for i in range(5)] == [("c", 0), ("c", 1), ("c", 2), ("c", 2), ("d", 0)]
 
 
 def test_whole_comparison(spark, tmp_path):
