@@ -1,8 +1,9 @@
 """Shared working tables.
 
 Long jobs cut their lineage by writing Parquet tables below the folder named in ``spark.checkpoint.dir``, which every
-executor and the driver can see, so a lost executor costs one stage and not the job. A folder of our own is used only
-when the session names none (local tests).
+executor and the driver can see, so a lost executor costs one stage and not the job. Where the session names none, a local
+master gets a temporary folder (tests); any other is told to name one. Operators drop tables that no later plan reads;
+what a lazy result still reads stays until the folder is cleared, which is the session's own to do.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session, or a temporary one where that is unset."""
+    """The shared folder: spark.checkpoint.dir of the session, or on a local master a temporary one where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='donorframe-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
