@@ -94,6 +94,16 @@ def trim_alleles(ref: Column, alt: Column) -> Column:
     return F.struct(head.alias("chopped"), F.substr(cut_ref, head + 1).alias("ref"), F.substr(cut_alt, head + 1).alias("alt"))
 
 
+def same_letters(a: Column, b: Column) -> Column:
+    """Equality whatever the case."""
+    return F.upper(a) == F.upper(b)
+
+
+def prefix_match(a: Column, b: Column) -> Column:
+    """Whether one of two texts begins with the other, whatever the case."""
+    return F.startswith(F.upper(a), F.upper(b)) | F.startswith(F.upper(b), F.upper(a))
+
+
 def comparison_order() -> list[Column]:
     """Total order of the merged sides: position, query before baseline, row."""
     return [F.col("pos"), F.when(F.col("side") == "query", 0).otherwise(1), F.col("row_id")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 VARIANT = T.StructType(
@@ -64,3 +65,10 @@ def scorings(unit: int = -1, mode: int = -1, scheme: int = -1) -> list[Scoring]:
     """All combinations; -1 stands for every value."""
     wide = lambda v, n: range(n) if v < 0 else [v]
     return [Scoring(*x) for x in product(wide(unit, 2), wide(mode, 2), wide(scheme, 3))]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new in df."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -61,13 +61,13 @@ def first_match(baseline: DataFrame, query: DataFrame, by: str = "genotype") ->
 def one_to_one(baseline: DataFrame, query: DataFrame, key: list[str]) -> DataFrame:
     """Greedy matching that uses every row once, for equality of whole keys: the n-th row of a key on one side takes the
     n-th on the other."""
-    numbered = lambda df, name: df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("row_id"))).select(*key, "__n", F.col("row_id").alias(name))
-    return numbered(baseline, "b_row").join(numbered(query, "q_row"), [*key, "__n"]).drop("__n")
+    numbered = lambda df, name: df.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("row_id")).alias("nth"), F.col("row_id").alias(name))
+    return numbered(baseline, "b_row").join(numbered(query, "q_row"), [*key, "nth"]).drop("nth")
 
 
 def one_per_position(baseline: DataFrame, query: DataFrame, by: str = "genotype") -> DataFrame:
     """One row of each side per position (the last read), matched where equal."""
-    last = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "pos").orderBy(F.desc("row_id")))).where("__n = 1").drop("__n")
+    last = lambda df: df.groupBy("chrom", "pos").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("chrom", "pos")]), "row_id").alias("r")).select("chrom", "pos", "r.*")
     pairs = last(baseline).alias("b").join(last(query).alias("q"), on_key() & PREDICATES[by]())
     return pairs.select(F.col("b.chrom").alias("chrom"), F.col("b.pos").alias("pos"), F.col("b.row_id").alias("b_row"), F.col("q.row_id").alias("q_row"))
 

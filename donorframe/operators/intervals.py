@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running, unused
+from ..model import unused
+from .running import running
 
 #: Width of the buckets that turn range joins into equi-joins.
 BUCKET = 1 << 14

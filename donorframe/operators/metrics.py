@@ -46,6 +46,11 @@ def recall_precision(counts: DataFrame) -> DataFrame:
     return counts.withColumn("recall", rate("baseline_match", "baseline_total")).withColumn("precision", rate("query_match", "query_total"))
 
 
+def mismatches(counts: DataFrame) -> DataFrame:
+    """Add the rows of both sides that are not matched."""
+    return counts.withColumn("baseline_mismatch", F.col("baseline_total") - F.col("baseline_match")).withColumn("query_mismatch", F.col("query_total") - F.col("query_match"))
+
+
 def pr_curve(counts: DataFrame) -> DataFrame:
     """True (recall, precision) pairs per mode, by recall."""
     w = Window.partitionBy("unit", "mode", "scheme").orderBy("recall", "precision", "t")

@@ -11,14 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 16
-
+from ..model import unused
 
-def unused(df: DataFrame, name: str) -> str:
-    """The name, with as many underscores before it as make it new in df."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
+WIDTH = 1 << 16
 
 
 def running(rows: DataFrame, by: list[str], order: list[Column], at: str = "pos", width: int = WIDTH, **wanted: tuple[str, Column, bool]) -> DataFrame:

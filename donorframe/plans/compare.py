@@ -19,6 +19,10 @@ from ..sources.readers import query_qualities, read_bed, read_fasta, read_match,
 from ..session import session
 
 
+#: Positions that the page of a diff shows.
+PAGE = 1_000
+
+
 def match(baseline: DataFrame, query: DataFrame, genome: DataFrame, thresholds: DataFrame, chosen: list[Scoring]) -> DataFrame:
     """Matcher results of one query against the baseline."""
     return match_clusters(cluster(sides(baseline, query), genome), genome, thresholds, chosen)
@@ -32,7 +36,7 @@ def counts_of(results: DataFrame, thresholds: DataFrame, baseline: DataFrame, qu
     return recall_precision(found.join(F.broadcast(baseline.agg(F.count("*").alias("baseline_total")))))
 
 
-def compare(spark: SparkSession, baseline: str, genome: str, queries: list[str], output: str, unit: int = -1, mode: int = -1, scheme: int = -1, curves: bool = True, use_genotype: bool = True, fast: bool = False) -> DataFrame:
+def compare(spark: SparkSession, baseline: str, genome: str, queries: list[str], output: str, unit: int = -1, mode: int = -1, scheme: int = -1, curves: bool = True, use_genotype: bool = True, fast: bool = False, graphs: bool = True) -> DataFrame:
     """Compare VCF files with a baseline; writes statistics, match records and a report, returns the counts."""
     if fast:
         unit = mode = scheme = 0
@@ -41,16 +45,21 @@ def compare(spark: SparkSession, baseline: str, genome: str, queries: list[str],
     folder.mkdir(parents=True, exist_ok=True)
     bases = read_fasta(spark, genome).persist()
     base = read_vcf(spark, baseline, BASELINE, 0, bases, use_genotype).persist()
-    all_counts = None
+    all_counts, held = None, [bases, base]
     for n, path in enumerate(queries, 1):
         rows = read_vcf(spark, path, QUERY, n, bases, use_genotype).persist()
         cuts = quality_thresholds(query_qualities(spark, path), PERCENTAGES if curves else PERCENTAGES[:1]).persist()
         results = match(base.withColumn("query_id", F.lit(n)), rows, bases, cuts, chosen).persist()
-        counts = counts_of(results, cuts, base, rows, chosen).withColumn("query_id", F.lit(n))
+        counted = counts_of(results, cuts, base, rows, chosen).withColumn("query_id", F.lit(n))
+        counts = spark.createDataFrame(counted.collect(), counted.schema)  # a row per mode and cut-off
         writers.write_stat(counts, base.count(), rows.count(), str(folder / f"query{n}.stat"))
         writers.write_match(results, str(folder / f"query{n}.match"))
+        for table in (rows, cuts, results):
+            table.unpersist()
         all_counts = counts if all_counts is None else all_counts.unionByName(counts)
-    writers.write_report(all_counts, str(folder / "stat.html"))
+    for table in held:
+        table.unpersist()
+    writers.write_report(all_counts, str(folder / "stat.html"), graphs)
     return all_counts
 
 
@@ -90,8 +99,12 @@ def diff(spark: SparkSession, files: list[str], output: str | None = None) -> Da
         folder = Path(output)
         folder.mkdir(parents=True, exist_ok=True)
         writers.write_lines(found.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "donors").alias("line")), str(folder / "diff"))
-        some = found.orderBy("chrom", "pos").limit(1_000).collect()  # a page to look at
-        (folder / "compare.html").write_text(writers.table_html(["chrom", "pos", "donors"], [[r.chrom, r.pos, r.donors] for r in some]))
+        total = found.count()
+        some = found.orderBy("chrom", "pos").limit(PAGE).collect()  # a page to look at; the file has all rows
+        told = rows.join(F.broadcast(spark.createDataFrame(some, found.schema).select("chrom", "pos")), ["chrom", "pos"]).orderBy("chrom", "pos", "file_id").collect() if some else []
+        note = f"<p>{len(some)} of {total} positions</p>"
+        blocks = [writers.match_block(f"{files[r.file_id]}, {r.chrom}:{r.pos}", r) for r in told]
+        (folder / "compare.html").write_text("\n".join([note, writers.table_html(["chrom", "pos", "donors"], [[r.chrom, r.pos, r.donors] for r in some]), *blocks]))
     return found
 
 
@@ -107,7 +120,7 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("-m", "--match-mode", type=int, default=-1, choices=[-1, 0, 1])
     c.add_argument("-s", "--score-scheme", type=int, default=-1, choices=[-1, 0, 1, 2, 3])
     c.add_argument("-t", "--threads", type=int, help="accepted; Spark's own settings decide")
-    c.add_argument("-G", "--no-graph", action="store_true", help="accepted; reports hold tables only")
+    c.add_argument("-G", "--no-graph", action="store_true", help="reports without plots")
     c.add_argument("-C", "--disable-curves", action="store_true")
     c.add_argument("-f", "--fast", action="store_true")
     b = sub.add_parser("regions", help="filter a VCF file by a BED file")
@@ -125,7 +138,7 @@ def main(args: list[str] | None = None) -> None:
         for q in a.query:
             print(direct_match(spark, a.baseline, q, a.match_mode, f"{a.output}/{Path(q).name}.direct").count())
     elif a.command == "compare":
-        compare(spark, a.baseline, a.genome, a.query, a.output, a.score_unit, a.match_mode, a.score_scheme, not a.disable_curves, fast=a.fast)
+        compare(spark, a.baseline, a.genome, a.query, a.output, a.score_unit, a.match_mode, a.score_scheme, not a.disable_curves, fast=a.fast, graphs=not a.no_graph)
     elif a.command == "regions":
         filter_regions(spark, a.vcf, a.bed, f"{a.vcf}.lcr.vcf", not a.outside)
     elif a.command == "complex":

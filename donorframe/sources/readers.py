@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import leading_int, split_nonempty
-from ..model import BASELINE, CHROMOSOMES, COLUMNS, MAX_INDEL, QUERY
+from ..functions.scalar import genotype_normalized, leading_int, split_nonempty
+from ..model import BASELINE, CHROMOSOMES, COLUMNS, MAX_INDEL, QUERY, unused
 
 #: Bases of one genome row.
 CHUNK = 1 << 12
@@ -68,13 +68,14 @@ def derived(df: DataFrame) -> DataFrame:
     return df.withColumns({"multi": F.size("alts") > 1, "mil": over(alt, ref), "mdl": over(ref, alt)})
 
 
-def read_vcf(spark: SparkSession, path: str, side: str = BASELINE, query_id: int = 0, genome: DataFrame | None = None, use_genotype: bool = True, keep_line: bool = False, filters: bool = True) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, side: str = BASELINE, query_id: int = 0, genome: DataFrame | None = None, use_genotype: bool = True, keep_line: bool = False, filters: bool = True, longest: int | None = None) -> DataFrame:
     """Variants of a VCF text file.
 
     Fields are split at tabs without empty ones; rows of under six fields are left out. Genotypes are read through the
     FORMAT of the first full row, up to the first row that has under ten fields or whose genotype has not two parts;
     from there on rows have no genotype. 0/0 rows, indels of over 100 bases and (given a genome) rows on other
-    chromosomes are left out. `all_quals` is not needed: see query_qualities() for the cut-offs' population.
+    chromosomes are left out, and with `longest` those with an allele of so many bases or more. Rows are in the order of
+    the file, so this reads one file; query_qualities() has the cut-offs' population.
     """
     raw = lines(spark, path).where((F.length("line") > 1) & ~F.col("line").startswith("#"))
     raw = raw.withColumn("cols", split_nonempty(F.col("line"), "\t"))
@@ -91,7 +92,8 @@ def read_vcf(spark: SparkSession, path: str, side: str = BASELINE, query_id: int
     rows = rows.join(F.broadcast(first_bad))  # one row
     on = F.lit(use_genotype) & (F.col("off_at").isNull() | (F.col("row_id") < F.col("off_at")))
     rows = rows.where(F.size("cols") >= 6).withColumn("gts", F.when(on, F.col("gts")))
-    return _variants(rows, col, side, query_id, genome, keep_line, filters)
+    out = _variants(rows, col, side, query_id, genome, keep_line, filters)
+    return out if longest is None else out.where((F.length("ref") < longest) & F.forall("alts", lambda x: F.length(x) < longest))
 
 
 def _variants(rows: DataFrame, col, side: str, query_id: int, genome: DataFrame | None, keep_line: bool, filters: bool) -> DataFrame:
@@ -131,17 +133,32 @@ def query_qualities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def haploid_alleles(variants: DataFrame, gt: Column | None = None) -> DataFrame:
-    """One row per called allele with its type S, I or D."""
+    """One row per allele with its type S, I or D; given a genotype (text such as 0/1), only of the alleles that it calls."""
     from ..functions.scalar import snp_type
 
-    called = variants.select("*", F.posexplode("alts").alias("allele", "alt"))
-    return called.withColumn("snp_type", snp_type(F.col("ref"), F.col("alt")))
+    calls = unused(variants, "calls")
+    told = variants.withColumn(calls, F.lit(None).cast("array<string>") if gt is None else F.split(gt, r"[/|]", -1))
+    listed = told.select("*", F.posexplode("alts").alias("allele", "alt"))
+    called = listed if gt is None else listed.where(F.array_contains(calls, (F.col("allele") + 1).cast("string")))
+    return called.drop(calls).withColumn("snp_type", snp_type(F.col("ref"), F.col("alt")))
+
+
+def read_haploid(spark: SparkSession, path: str, side: str = BASELINE) -> DataFrame:
+    """Called alleles of a VCF file, one row each: row_id, side, chrom, pos, ref, alt, allele, snp_type, gt (sorted, joined
+    by a bar). Each row's own FORMAT tells where its genotype is; rows without a genotype of two parts are left out."""
+    raw = lines(spark, path).where((F.length("line") > 1) & ~F.col("line").startswith("#")).withColumn("cols", split_nonempty(F.col("line"), "\t"))
+    col = lambda i: F.get("cols", F.lit(i))
+    at = F.array_position(F.split(col(8), ":"), "GT") - 1
+    rows = raw.where(F.size("cols") >= 10).withColumn("gt", F.when(at >= 0, F.get(F.split(col(9), ":"), at.cast("int")))).where(F.size(F.split("gt", r"[/|]", -1)) == 2)
+    told = rows.select("row_id", F.lit(side).alias("side"), col(0).alias("chrom"), (leading_int(col(1)) - 1).alias("pos"), F.upper(col(3)).alias("ref"), split_nonempty(F.upper(col(4)), ",").alias("alts"), "gt")
+    return haploid_alleles(told, F.col("gt")).withColumn("gt", genotype_normalized(F.col("gt"))).drop("alts")
 
 
 def first_of_each(variants: DataFrame) -> DataFrame:
     """The first row (by row_id) of each chromosome, position, ref and alt; rows of several alts are left out."""
     w = Window.partitionBy("side", "query_id", "chrom", "pos", "ref", F.get("alts", F.lit(0))).orderBy("row_id")
-    return variants.where(F.size("alts") == 1).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    name = unused(variants, "nth")
+    return variants.where(F.size("alts") == 1).withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

@@ -65,12 +65,66 @@ def table_html(header: list[str], rows: list[list]) -> str:
     return "<table>\n" + "\n".join(body) + "\n</table>"
 
 
-def write_report(counts: DataFrame, path: str) -> None:
-    """A page with recall and precision by mode and by query, and precision-recall pairs (a small table by nature)."""
+PLOT = (560, 300, 45)  # width, height and margin
+COLORS = ["#4269d0", "#d95f02", "#3ca951", "#a463f2", "#9c6b4e", "#ff8ab7"]
+
+
+def plot_svg(title: str, lines: dict[str, list[tuple[float, float]]], ticks: list[str] | None = None) -> str:
+    """Lines of (x, y) with y in per cent; ticks name the values 0, 1, ... of x, else x is in per cent too."""
+    width, height, margin = PLOT
+    most = max(1, len(ticks) - 1) if ticks else 100
+    at = lambda x, y: (margin + x / most * (width - 2 * margin), height - margin - y / 100 * (height - 2 * margin))
+    out = [f'<svg width="{width}" height="{height}" role="img"><title>{html.escape(title)}</title>']
+    for y in range(0, 101, 20):
+        (x0, h), (x1, _) = at(0, y), at(most, y)
+        out.append(f'<line x1="{x0:.1f}" y1="{h:.1f}" x2="{x1:.1f}" y2="{h:.1f}" stroke="#ddd"/><text x="{x0 - 6:.1f}" y="{h + 4:.1f}" font-size="11" text-anchor="end">{y}</text>')
+    for x, name in enumerate(ticks) if ticks else [(v, str(v)) for v in range(0, 101, 20)]:
+        out.append(f'<text x="{at(x, 0)[0]:.1f}" y="{height - margin + 16}" font-size="11" text-anchor="middle">{html.escape(name)}</text>')
+    for i, (name, points) in enumerate(lines.items()):
+        color = COLORS[i % len(COLORS)]
+        places = [at(*p) for p in points]
+        out.append(f'<polyline fill="none" stroke="{color}" stroke-width="2" points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in places)}"/>')
+        out += [f'<circle cx="{x:.1f}" cy="{y:.1f}" r="3" fill="{color}"/>' for x, y in places]
+        out.append(f'<text x="{margin + 8}" y="{16 + 14 * i}" font-size="12" fill="{color}">{html.escape(name)}</text>')
+    return "\n".join([*out, "</svg>"])
+
+
+def write_report(counts: DataFrame, path: str, graphs: bool = True) -> None:
+    """A page with recall and precision by mode and by query, and precision-recall pairs (a small table by nature); with
+    graphs, recall and precision of all rows over the modes, and a precision-recall curve per mode."""
     rows = counts.withColumn("label", mode_label(F.col("unit"), F.col("mode"), F.col("scheme"))).orderBy("query_id", "unit", "mode", "scheme", "t").collect()
     head = ["query", "mode", "quality", "baseline matched", "query matched", "recall", "precision"]
     line = lambda r: [r.query_id, r.label, r.qual_min, r.baseline_match, r.query_match, r.recall, r.precision]
-    parts = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>Comparison</title></head><body>", "<h1>All rows</h1>", table_html(head, [line(r) for r in rows if r.t == 0])]
-    for label in dict.fromkeys(r.label for r in rows):
-        parts += [f"<h2>{label}: precision and recall by quality</h2>", table_html(head, [line(r) for r in sorted((r for r in rows if r.label == label), key=lambda r: (r.query_id, r.recall))])]
+    whole, labels = [r for r in rows if r.t == 0], list(dict.fromkeys(r.label for r in rows))
+    of = lambda some: {f"Query {q}": [r for r in some if r.query_id == q] for q in dict.fromkeys(r.query_id for r in some)}
+    parts = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>Comparison</title></head><body>", "<h1>All rows</h1>", table_html(head, [line(r) for r in whole])]
+    if graphs:
+        for name in ("recall", "precision"):
+            parts += [f"<h2>{name.capitalize()} (%)</h2>", plot_svg(f"{name} by mode", {q: [(labels.index(r.label), r[name]) for r in some] for q, some in of(whole).items()}, labels)]
+    for label in labels:
+        some = sorted((r for r in rows if r.label == label), key=lambda r: (r.query_id, r.recall, r.precision))
+        parts.append(f"<h2>{label}: precision and recall by quality</h2>")
+        if graphs:
+            parts.append(plot_svg(f"{label}: precision over recall", {q: [(r.recall, r.precision) for r in x] for q, x in of(some).items()}))
+        parts.append(table_html(head, [line(r) for r in some]))
     Path(path).write_text("\n".join([*parts, "</body></html>"]))
+
+
+def spaced(text: str) -> str:
+    return " ".join(text)
+
+
+def match_block(name: str, r) -> str:
+    """A match record with its alleles in columns under the bases that they stand for; used ones are marked."""
+    shown = lambda mark, label, text: f'<pre class="{mark}">{html.escape(f"{label:>13}:{spaced(text)}")}</pre>'
+    donors = (r.alt or "").split("/")
+    out = [f"<h3>{html.escape(name)}</h3>", shown("genome", "Genome REF", r.ref), shown("donor", "Donor 0", donors[0]), shown("donor", "Donor 1", donors[-1])]
+    for side, listed, phases in (("Baseline", r.vcf1, r.phase1), ("Query", r.vcf2, r.phase2)):
+        if not listed or listed == ".":
+            continue
+        for one, phase in zip(listed.split(";"), phases.split(";")):
+            pos, ref, alts = one.split(",", 2)
+            shift, used = " " * (int(pos) - r.pos), phase.split("|")
+            out.append(shown("selected" if "0" in used else "", f"{side} REF", shift + ref))
+            out += [shown("selected" if str(i) in used else "discard", "ALT", shift + alt) for i, alt in enumerate(alts.split("/"), 1)]
+    return "\n".join(out)

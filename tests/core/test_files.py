@@ -176,7 +176,7 @@ def test_whole_comparison(spark, tmp_path):
     part = out / "query1.match" / "query_id=1" / "match=0_0_0"
     found = read_match(spark, str(part)).collect()
     assert len(found) == kinds["same"] + kinds["split"] and {x.score for x in found if x.vcf2 != "." and ";" in x.vcf2} == {"3"}
-    assert "Comparison" in (out / "stat.html").read_text()
+    assert "Comparison" in (out / "stat.html").read_text() and "<polyline" in (out / "stat.html").read_text()
     assert direct_match(spark, b, q, output=str(tmp_path / "d")).count() == kinds["same"] and direct_match(spark, b, q, 1).count() == kinds["same"] + kinds["gt"]
     assert diff(spark, [str(part), str(part)]).count() == 0
     one_less = [str(p) for p in part.glob("part-*")]
