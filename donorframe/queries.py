@@ -40,21 +40,26 @@ def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 BASE = lambda x: f"substr('ACGT', CAST(1 + ({x}) % 4 AS INT), 1)"
-VIEW = f"""
+
+
+def view_sql(at: str = "pos") -> str:
+    """The variant view in SQL; at: what refs and alts follow."""
+    return f"""
 raw AS (
   SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_linenumber % 2 = 1 THEN 'baseline' ELSE 'query' END AS side,
     CAST(1 + l_suppkey % 22 AS VARCHAR) AS chrom, CAST(l_partkey * 50 + (l_suppkey // 22) * 12 AS INT) AS pos,
     CASE l_returnflag WHEN 'A' THEN '0/1' WHEN 'N' THEN '1/1' ELSE '1/2' END AS gt, CAST(round(l_tax * 100) AS INT) AS tax,
     CAST(trunc(l_quantity) AS INT) AS quantity, l_extendedprice AS qual FROM lineitem
-), withref AS (SELECT *, {BASE("pos")} AS ref FROM raw),
+), withref AS (SELECT *, {BASE("site")} AS ref FROM (SELECT *, {at} AS site FROM raw)),
 v0 AS (
   SELECT row_id, side, chrom, pos, ref, gt, qual, gt <> '1/1' AS het, gt = '0/1' AS zero_one,
-    CASE WHEN tax % 4 = 3 THEN [ref || {BASE("pos + 1")}] WHEN gt = '1/2' THEN [{BASE("pos + 1")}, {BASE("pos + 2")}]
-      ELSE [{BASE("pos + 1 + quantity % 3")}] END AS alts FROM withref
+    CASE WHEN tax % 4 = 3 THEN [ref || {BASE("site + 1")}] WHEN gt = '1/2' THEN [{BASE("site + 1")}, {BASE("site + 2")}]
+      ELSE [{BASE("site + 1 + quantity % 3")}] END AS alts FROM withref
 ), v AS (
   SELECT *, len(alts) > 1 AS multi, CAST(greatest(0, length(alts[1]) - length(ref)) AS INT) AS mil, CAST(greatest(0, length(ref) - length(alts[1])) AS INT) AS mdl FROM v0
 ), b AS (SELECT * FROM v WHERE side = 'baseline'), q AS (SELECT * FROM v WHERE side = 'query')
 """
+VIEW = view_sql()
 SHARED = "len(list_filter(b.alts, lambda x: list_contains(q.alts, x)))"
 SAME = f"""b.chrom = q.chrom AND b.pos = q.pos AND b.ref = q.ref AND (
   (b.het = q.het AND b.multi = q.multi AND CASE WHEN b.multi AND b.het THEN {SHARED} >= 2 ELSE b.alts[1] = q.alts[1] END)
@@ -223,9 +228,32 @@ def genome(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     return F.broadcast(names).join(bases).select("chrom", "chunk_id", (F.col("chunk_id") * chunk).cast("int").alias("start"), "seq")
 
 
-@query()
-def cluster_general(spark, sf_dir):
-    return shown(clustering.cluster(variants(spark, sf_dir, VARIED), genome(spark, sf_dir)), "side", "cluster_id")
+# The same digits, refs and genome in SQL, and the clustering rule as a fold over the rows of every chromosome.
+DIGITS_SQL = "CASE WHEN ascii(md5(CAST(({0}) // 4 AS VARCHAR))) % 4 = 0 THEN repeat('0123', 8) ELSE md5(CAST({0} AS VARCHAR)) END"
+VARIED_SQL = f"instr('0123456789abcdef', substr({DIGITS_SQL.format('(pos // 32)')}, 1 + pos % 32, 1)) - 1"
+BETWEEN = f"substr(translate(array_to_string(list_transform(range(run_end // 32, (pos - 1) // 32 + 1), lambda i: {DIGITS_SQL.format('i')}), ''), '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(1 + run_end % 32 AS INT), gap)"
+REPEATED = "length(s) = 1 OR len(list_filter(range(1, length(s) // 2 + 1), lambda u: substr(s, 1, u * (length(s) // u)) = repeat(substr(s, 1, u), length(s) // u))) > 0"
+CLUSTERS = f"""WITH RECURSIVE {view_sql(VARIED_SQL)},
+o AS (SELECT *, row_number() OVER w AS rn, max(pos + length(ref)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_end FROM v
+  WINDOW w AS (PARTITION BY chrom ORDER BY pos, CASE side WHEN 'query' THEN 0 ELSE 1 END, row_id, ref, alts, qual)),
+g AS (SELECT *, pos - run_end AS gap FROM o),
+apart AS (SELECT chrom, rn, {BETWEEN} AS s FROM g WHERE gap BETWEEN 2 AND 1000),
+r AS MATERIALIZED (SELECT g.chrom, g.rn, gap, side = 'baseline' AS b, mil, mdl, coalesce({REPEATED}, false) AS same FROM g LEFT JOIN apart USING (chrom, rn)),
+f AS (SELECT chrom, rn, CASE WHEN b THEN mil ELSE 0 END AS bi, CASE WHEN b THEN mdl ELSE 0 END AS bd, CASE WHEN b THEN 0 ELSE mil END AS qi, CASE WHEN b THEN 0 ELSE mdl END AS qd, 0 AS n FROM r WHERE rn = 1
+  UNION ALL SELECT chrom, rn, CASE WHEN cut THEN 0 ELSE bi END + CASE WHEN b THEN mil ELSE 0 END, CASE WHEN cut THEN 0 ELSE bd END + CASE WHEN b THEN mdl ELSE 0 END,
+    CASE WHEN cut THEN 0 ELSE qi END + CASE WHEN b THEN 0 ELSE mil END, CASE WHEN cut THEN 0 ELSE qd END + CASE WHEN b THEN 0 ELSE mdl END, n + CASE WHEN cut THEN 1 ELSE 0 END
+  FROM (SELECT r.*, bi, bd, qi, qd, n, gap >= 2 AND (greatest(bi + qd, qi + bd) = 0 OR (gap > 2 * greatest(bi + qd, qi + bd) AND (gap > 1000 OR NOT same))) AS cut FROM f JOIN r ON r.chrom = f.chrom AND r.rn = f.rn + 1))
+SELECT {ROW}, side, chrom || ':' || min(pos) OVER (PARTITION BY chrom, n) AS cluster_id FROM g JOIN f USING (chrom, rn)"""
+
+
+def cluster_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters over the varied genome, named by their chromosome and least position."""
+    found = clustering.cluster(variants(spark, sf_dir, VARIED), genome(spark, sf_dir))
+    least = F.min("pos").over(Window.partitionBy("cluster_id"))
+    return shown(found.withColumn("cluster_id", F.concat_ws(":", "chrom", least.cast("string"))), "side", "cluster_id")
+
+
+QUERIES["cluster_general"], SQL["cluster_general"] = cluster_general, CLUSTERS
 
 
 def matching(unit: int, mode: int, scheme: int):
