@@ -5,9 +5,11 @@ from collections import defaultdict
 
 import pytest
 
-from donorframe.model import MAX_REPEAT, Scoring
+from donorframe.model import MAX_REPEAT, Scoring, scorings
+from donorframe.operators.clustering import cluster
+from donorframe.operators.matcher import match_clusters
 from donorframe.operators.search import Row, direct, hopeless
-from donorframe.queries import QUERIES, VARIED, cuts, variants
+from donorframe.queries import QUERIES, VARIED, cuts, genome, variants
 
 from .test_search import plain_best
 
@@ -66,9 +68,35 @@ def test_clusters(spark, rows):
     assert named(got.values()) == named(plain_clusters(rows)) != named(plain_clusters(rows, genome=False))
 
 
-@pytest.mark.parametrize("scoring", [(0, 0, 0), (1, 1, 2)])
-def test_matches_at_all_cut_offs(spark, rows, scoring):
-    found = QUERIES["match_search_{}_{}_{}".format(*scoring)](spark, FOLDER).where("status = 'search'").collect()
+@pytest.fixture(scope="module")
+def searched(spark):
+    g = genome(spark, FOLDER)
+    found = match_clusters(cluster(variants(spark, FOLDER, VARIED), g), g, cuts(spark, FOLDER), scorings())
+    return found.select("unit", "mode", "scheme", "t", "chrom", "pos", "status", "score", "cluster_id").collect()
+
+
+def test_the_queries_are_the_modes_of_one_run(spark, searched):
+    got = QUERIES["match_search_1_0_2"](spark, FOLDER).collect()
+    want = [r for r in searched if (r.unit, r.mode, r.scheme) == (1, 0, 2)]
+    key = lambda r: (r.t, r.cluster_id, r.pos, r.status, str(r.score))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and {r.status for r in got} >= {"equal", "search"}
+
+
+def test_equal_pairs_are_settled_in_every_mode(spark, rows, searched):
+    low = {r.t: r.qual_min for r in cuts(spark, FOLDER).collect()}
+    want = set()
+    for c in plain_clusters(rows):
+        for t, q in low.items():
+            some = [r for r in c if r.qual >= q]
+            if len(some) == 2 and {r.side for r in some} == {"baseline", "query"} and direct([Row.of(r.asDict()) for r in some]):
+                want |= {(s.unit, s.mode, s.scheme, t, c[0].chrom, some[0].pos) for s in scorings()}
+    got = [(r.unit, r.mode, r.scheme, r.t, r.chrom, r.pos) for r in searched if r.status == "equal"]
+    assert set(got) == want and len(got) == len(want) > 0
+
+
+@pytest.mark.parametrize("scoring", [(s.unit, s.mode, s.scheme) for s in scorings()])
+def test_matches_at_all_cut_offs(spark, rows, searched, scoring):
+    found = [r for r in searched if (r.unit, r.mode, r.scheme) == scoring and r.status == "search"]
     got, want = defaultdict(list), defaultdict(list)
     for t, low in [(r.t, r.qual_min) for r in cuts(spark, FOLDER).collect()]:
         for c in plain_clusters(rows):
