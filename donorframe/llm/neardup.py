@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import unused
 from .components import Forest, components
 from .textcore import NOT_SPACE, Words, blocks, buffers, list_array, set_key, text_key
 from .workspace import Workspace, prepare
@@ -283,7 +284,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 def deduplicate_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all columns: of the rows with the least id the first; null ids come last. Rows
     without words stay. Rows are told apart by a key that is written once, so ids may be null, repeated or shared."""
-    keyed = Workspace(docs.sparkSession, "deduplicate").keep(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    found = near_duplicates(keyed, shingle, percent, keep_keys=True, row_key="__key")
+    name = unused(docs, "row_key")
+    keyed = Workspace(docs.sparkSession, "deduplicate").keep(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, shingle, percent, keep_keys=True, row_key=name)
     first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
-    return keyed.join(first.select(F.col("first.key").alias("__key")).hint("merge"), "__key", "left_semi").select(docs.columns)
+    return keyed.join(first.select(F.col("first.key").alias(name)).hint("merge"), name, "left_semi").select(docs.columns)

@@ -10,7 +10,10 @@ Positions: a pattern's matches and the text between them alternate, so starts ar
 points. Patterns are written so that the JVM needs no backtracking over long runs: a run is entered only at its start
 (or at the end of the match before, `\\G`), and possessive where nothing follows that could take characters back.
 
-Defined cases: a null or empty text has no spans; null ids and repeated rows are kept; an empty table gives no rows;
+What generators propose: a secret is a run of 20 or more of its characters with a digit among its first 65; context is the
+CONTEXT characters before a span. A text without any digit or @ can hold no span of any kind.
+
+Defined cases: very long texts are matched whole; a null or empty text has no spans; null ids and repeated rows are kept; an empty table gives no rows;
 other columns are ignored by find() and kept by redact().
 """
 
@@ -23,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import unused
+
 # Kinds in their order of listing.
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "id", "secret"]
@@ -227,7 +232,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The same documents with every span's text replaced by its kind in square brackets; overlapping spans become one.
     A null text stays null."""
-    work = docs.withColumn("__found", F.when(F.col("text").isNotNull(), spans(F.col("text"))))
+    name = unused(docs, "found")
+    work = docs.withColumn(name, F.when(F.col("text").isNotNull(), spans(F.col("text"))))
     text, names = F.col("text"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -236,5 +242,5 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc.at, s["end"]).alias("at"), F.when(fresh, more).otherwise(acc.out).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__found", zero, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(text, acc.at + 1)))
-    return work.withColumn("text", F.when(F.size("__found") > 0, clean).otherwise(text)).select(docs.columns)
+    clean = F.aggregate(name, zero, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(text, acc.at + 1)))
+    return work.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(text)).select(docs.columns)

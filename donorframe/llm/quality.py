@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import unused
 from .textcore import ALNUM, NOT_SPACE, HashFilter, Words, blocks, buffers, mix
 from .workspace import prepare
 
@@ -292,13 +293,14 @@ def keep_good_rows(docs: DataFrame, labels: DataFrame | None = None) -> DataFram
     """The rows that are not rejected, with all columns: each row by its own text, whatever its id."""
     prepare(docs.sparkSession)
     lexicon, posterior, scorer = train(docs, labels)
+    name = unused(docs, "judged")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("__text")
+            text = batch.column(name)
             for a, b in blocks(text):
                 data, offsets = buffers(text.slice(a, b - a))
                 rejected = judge(data, offsets, lexicon, posterior, scorer)[3]
-                yield batch.slice(a, b - a).filter(pa.array(~rejected)).drop_columns("__text")
+                yield batch.slice(a, b - a).filter(pa.array(~rejected)).drop_columns(name)
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(run, docs.schema)

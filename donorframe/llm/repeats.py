@@ -3,7 +3,7 @@
 A suffix enters an array where it starts at an anchor: in every run of LENGTH bytes the position (of those whose GRAM
 bytes lie inside) with the least gram hash, the leftmost on ties. Equal runs choose the same anchor, so two places of a
 repeated run always meet in the arrays, and the arrays hold about one suffix in 120 bytes. Suffixes are ordered by the
-fingerprint of their first GRAM bytes; bytes decide from there on.
+fingerprint of their first GRAM bytes, not by the bytes: of the merge-scan only equality of beginnings is asked.
 
 The family: documents come in batches. A new batch gets its array, is merge-scanned against every level held (sorted
 joins on the fingerprint) for common beginnings, and becomes a level of its own; levels of equal size are merged before
@@ -12,9 +12,10 @@ batch repeats is found by its fingerprint in the end.
 
 Verification: of the suffixes with a repeated beginning, contexts (LENGTH - GRAM bytes before, LENGTH after the anchor)
 are compared. Equal whole contexts are repeats throughout. The other contexts of a group are compared run by run over all
-LENGTH - GRAM + 1 offsets with 128-bit window hashes, each group's contexts once per class of equal contexts; groups of
+LENGTH - GRAM + 1 offsets by the window's hash, each group's contexts once per class of equal contexts; groups of
 more than LARGE classes do this by a shuffle on the window hash instead of in one task. A run that occurs elsewhere marks
-its bytes.
+its bytes. Equality is that of 128 bits, the 64 of the fingerprint and 64 of the context or window; no bytes are compared.
+Documents are scanned once for suffixes, once for the contexts of repeated ones, and once for the result.
 
 Defined cases: a null text is empty; matches never cross documents; repeated rows are repeats of each other; null ids are
 handled like others; an empty table gives no rows; other columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textcore import BASE, INVERSE, _byte_values, blocks, buffers, mix, powers
-from .workspace import Workspace, delete, prepare
+from .workspace import Workspace, prepare
 
 LENGTH = 400
 GRAM = 160
@@ -216,19 +217,13 @@ def compare_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 def repeated_runs(docs: DataFrame, work: Workspace, length: int, gram: int, batches: int) -> DataFrame:
     """Marked stretches of documents (doc_id, text, mark): doc_id, mark, low, high (bytes)."""
     same_doc = ["doc_id", "mark"]
-    entries = []
     family = Family(work)
+    everything = work.keep(suffixes(docs, length, gram).withColumn("batch", F.expr(f"pmod(mark, {batches})")), "suffixes")
     for i in range(batches):
-        part = work.keep(suffixes(docs.where(F.expr(f"pmod(mark, {batches}) = {i}")), length, gram), "suffixes")
-        family.append(part)
-        entries.append(part)
-    everything = entries[0]
-    for part in entries[1:]:
-        everything = everything.unionAll(part)
+        family.append(everything.where(F.col("batch") == i))
     repeated = work.keep(family.repeated.distinct(), "repeated")
-    met = work.keep(everything.join(repeated, "g", "left_semi"), "met")
-    for part in entries:
-        delete(work.spark, part._workspace_path)
+    met = work.keep(everything.drop("batch").join(repeated, "g", "left_semi"), "met")
+    work.drop(everything)
     classes = work.keep(met.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "at")).alias("first")), "classes")
     everywhere = met.join(classes.where("n > 1").select("g", "c"), ["g", "c"]).select(*same_doc, F.greatest(F.col("at") - (length - gram), F.lit(0)).cast("long").alias("low"), (F.col("at") + length).cast("long").alias("high"))
     everywhere = work.keep(everywhere, "everywhere")
@@ -274,12 +269,12 @@ def compare_by_shuffle(contexts: DataFrame, work: Workspace, length: int, gram:
                 part = batch.slice(a, 1_000)
                 for d, rows, h in windows_of(part, length, gram):
                     t = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([part.column(n).take(t) for n in ("doc_id", "mark", "at", "alone")] + [pa.array(np.full(len(rows), d), pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "mark", "at", "alone", "d", "h"])
+                    yield pa.RecordBatch.from_arrays([part.column(n).take(t) for n in ("doc_id", "mark", "at", "alone", "g")] + [pa.array(np.full(len(rows), d), pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "mark", "at", "alone", "g", "d", "h"])
 
     id_type = contexts.schema["doc_id"].dataType.simpleString()
-    windows = work.keep(contexts.mapInArrow(run, f"doc_id {id_type}, mark long, at int, alone boolean, d int, h long"), "windows")
-    twice = work.keep(windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    hit = windows.where("alone").join(twice, "h", "left_semi").groupBy("doc_id", "mark", "at").agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    windows = work.keep(contexts.mapInArrow(run, f"doc_id {id_type}, mark long, at int, alone boolean, g long, d int, h long"), "windows")
+    twice = work.keep(windows.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h"), "twice")
+    hit = windows.where("alone").join(twice, ["g", "h"], "left_semi").groupBy("doc_id", "mark", "at").agg(F.min("d").alias("least"), F.max("d").alias("most"))
     return hit.select("doc_id", "mark", (F.col("at") - F.col("most")).cast("long").alias("low"), (F.col("at") - F.col("least") + length).cast("long").alias("high"))
 
 
