@@ -1,4 +1,3 @@
-import pandas as pd
 import random
 
 from pyspark.sql import functions as F
