@@ -73,8 +73,14 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup, op13_cross_tokenizer)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
