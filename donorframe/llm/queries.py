@@ -73,6 +73,12 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import align_documents
 
@@ -80,7 +86,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup, op13_cross_tokenizer)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup, op12_prefix_trie, op13_cross_tokenizer)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
@@ -141,6 +147,22 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a), {component_sql("vec_id")}
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN n ON n.a = vec_id"""
 
 
+# A cyclic redundancy check bit by bit, then every prefix of every conversation as a list; sums of a subtree go from each
+# node to all its prefixes.
+BIT = "(xor(c, CASE WHEN k % 8 = 0 THEN ascii(s[k // 8 + 1]) ELSE 0 END))"
+OP12_SQL = f"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text)) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(range(0, 8 * length(s)), lambda c, k: xor({BIT} >> 1, CASE WHEN {BIT} & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), 4294967295) % 4 AS h FROM own),
+convs AS (SELECT h.conv_id, coalesce(b.ts, [])[1 : h.h] || h.ts[h.h + 1 :] AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+e AS (SELECT conv_id, len(ts) AS n, d, ts[1 : d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM convs)),
+node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM e GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+told AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node.p[node.d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM node LEFT JOIN kids ON kids.d = node.d AND kids.p = node.p),
+up AS (SELECT a AS d, p[1 : a] AS p, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM told) GROUP BY ALL)
+SELECT told.conv_id, told.d AS depth, above.conv_id AS parent_conv_id, told.n_convs, told.n_children, n_leaves, saved_tokens, told.ends_sha256
+FROM told JOIN up ON up.d = told.d AND up.p = told.p LEFT JOIN node above ON above.d = told.d - 1 AND above.p = told.p[1 : told.d - 1]"""
+
+
 def op3_sql() -> str:
     """Diagonal voting in SQL, over the same templates."""
     from .licenses import BASE, COVERAGE, GRAM, NEIGHBOUR, TEMPLATES
@@ -166,4 +188,4 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": OP2_SQL, "op3_license_scans": op3_sql(), "op4_chat_formatting": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_embedding_neardup": OP10_SQL}
+    return {"op2_neardup": OP2_SQL, "op3_license_scans": op3_sql(), "op4_chat_formatting": OP4_SQL, "op9_decontamination": OP9_SQL, "op10_embedding_neardup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
