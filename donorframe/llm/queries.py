@@ -73,6 +73,12 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .stock import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .trie import prefix_trie
 
@@ -86,7 +92,7 @@ def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup, op12_prefix_trie, op13_cross_tokenizer)}
+    return {f.__name__: f for f in (op1_packing, op2_neardup, op3_license_scans, op4_chat_formatting, op5_quality, op6_token_counts, op7_repeats, op8_pii, op9_decontamination, op10_embedding_neardup, op11_packing, op12_prefix_trie, op13_cross_tokenizer)}
 
 
 # What the formatted conversations hold, computed from the table itself; the lengths follow the template's escapes.
