@@ -21,7 +21,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +32,16 @@ from pyspark.sql import functions as F
 from .encoders import ByteEncoder, split_parts
 from .workspace import Workspace, prepare
 
-#: Parts whose alignment a worker keeps, and the longest that it keeps.
-CACHE, SHORT = 100_000, 64
-#: Parts that are joined and hashed at a time.
-SLICE = 50_000
+#: Parts whose alignment a worker keeps (about 400 bytes each) and their characters, before it begins anew.
+CACHE, CHARACTERS = 300_000, 6_000_000
+#: Parts that are aligned, joined and hashed at a time.
+SLICE = 20_000
 #: Most rows of pair counts that are broadcast (about 50 bytes each).
 BROADCAST = 500_000
 #: A pair of ids is one number, a * WIDTH + b.
 WIDTH = 1 << 31
 
-Part = tuple[int, int, int, str, list[int]]
+Part = tuple[int, int, int, str, tuple[int, ...]]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,34 +68,46 @@ class Aligner:
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a token without bytes ends where another ends")
         self.cache: dict[str, Part | None] = {}
+        self.held = 0
 
-    def align(self, text: str) -> Part | None:
-        """Numbers of A and B tokens and of groups, the groups as text, and the links; None where tokens do not spell the text."""
+    def align(self, parts: list[str]) -> list[Part] | None:
+        """For each part of a text (which a space follows, but for the last): numbers of A and B tokens and of groups, the
+        groups as text, and the links. None where the tokens do not spell the text."""
+        text = " ".join(parts)
         whole = f" {text}".encode()
-        a, b = np.frombuffer(self.a.encode(f" {text}"), "<u4").tolist(), self.b.encode(text)
+        ids = np.frombuffer(self.a.encode(f" {text}"), "<u4").tolist(), self.b.encode(text)
         ends = []
-        for ids, names in ((a, self.a_bytes), (b, self.b_bytes)):
-            spelled = [names[i] for i in ids]
+        for tokens, names in zip(ids, (self.a_bytes, self.b_bytes)):
+            spelled = [names[i] for i in tokens]
             if b"".join(spelled) != whole:
                 return None
-            ends.append(dict(zip(np.cumsum(list(map(len, spelled))).tolist(), range(1, len(ids) + 1))))
-        groups, links, i, k = [], [], 0, 0
+            ends.append(dict(zip(accumulate(map(len, spelled)), range(1, len(tokens) + 1))))
+        a, b = (list(map(str, x)) for x in ids)
+        part_ends = accumulate(1 + len(p.encode()) for p in parts)
+        told, groups, links, i, k, i_from, k_from = [], [], [], 0, 0, 0, 0
+        part_end = next(part_ends)
         for end in sorted(ends[0].keys() & ends[1].keys()):
             i_to, k_to = ends[0][end], ends[1][end]
-            groups.append(f"{','.join(map(str, a[i:i_to]))}|{','.join(map(str, b[k:k_to]))}")
-            links.append(a[i_to - 1] * WIDTH + b[k_to - 1])
+            groups.append(f"{','.join(a[i:i_to])}|{','.join(b[k:k_to])}")
+            links.append(ids[0][i_to - 1] * WIDTH + ids[1][k_to - 1])
             i, k = i_to, k_to
-        return len(a), len(b), len(groups), ";".join(groups), links
-
-    def part(self, text: str) -> Part | None:
-        found = self.cache.get(text, self)
-        if found is self:
-            found = self.align(text)
-            if len(text) <= SHORT:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
+            if end == part_end:
+                told.append((i - i_from, k - k_from, len(groups), ";".join(groups), tuple(links)))
+                groups, links, i_from, k_from, part_end = [], [], i, k, next(part_ends, None)
+        return told
+
+    def learn(self, parts: list[str]) -> None:
+        """Take parts up into the cache: all that are new as one text."""
+        new = [p for p in dict.fromkeys(parts) if p not in self.cache]
+        self.held += sum(map(len, new))
+        # parts that begin or end with white space are aligned alone, so that each space between parts is a common end
+        apart = [p for p in new if p[:1].isspace() or p[-1:].isspace() or "▁" in (p[:1], p[-1:])]
+        together = [p for p in new if p not in set(apart)] if apart else new
+        for some in ([together] if together else []) + [[p] for p in apart]:
+            told = self.align(some)
+            if told is None and len(some) > 1:
+                told = [x[0] if (x := self.align([p])) else None for p in some]
+            self.cache.update(zip(some, told or [None]))
 
     def document(self, text: str) -> tuple[int, int, int, str, Counter]:
         """n_a, n_b, n_groups, groups_sha256 and links of a text."""
@@ -103,7 +115,12 @@ class Aligner:
         parts = split_parts(text) if text else []
         n, digest, links = [0, 0, 0], hashlib.sha256(), Counter()
         for at in range(0, len(parts), SLICE):
-            told = list(map(self.part, parts[at : at + SLICE]))
+            some = parts[at : at + SLICE]
+            if len(self.cache) > CACHE or self.held > CHARACTERS:
+                self.cache.clear()
+                self.held = 0
+            self.learn(some)
+            told = list(map(self.cache.__getitem__, some))
             if None in told:
                 return none
             *counts, groups, linked = zip(*told)
