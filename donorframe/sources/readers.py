@@ -2,49 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import genotype_normalized, leading_int, split_nonempty
 from ..model import BASELINE, CHROMOSOMES, COLUMNS, MAX_INDEL, QUERY, unused
+from ..operators.running import running
 
 #: Bases of one genome row.
 CHUNK = 1 << 12
+#: Most input files and byte ranges of which a row each (about 200 bytes) is broadcast.
+MOST_FILES, MOST_RANGES = 1_000, 100_000
+
+
+def few_files(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a table with some rows per input file is small enough to broadcast."""
+    return len(spark.read.text(path).inputFiles()) <= MOST_FILES
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file (gz too) with their order: row_id, line. Ids grow along the file, and are not dense."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files (gz too): row_id (from 0 over all lines, files by name), file, line.
 
+    Spark cuts plain files at byte ranges, which different tasks read; a gz file is one range. A first pass counts the lines
+    of each range, and sums over the ranges (one row each) number the lines, however the files are cut."""
+    read = spark.read.text(path)
+    raw = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range_at"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    ranges = raw.groupBy("file", "range_at").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "range_at").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranges.select("file", "range_at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    # a task reads one range or whole small files, so there are no more ranges than tasks and files
+    if read.rdd.getNumPartitions() + len(read.inputFiles()) <= MOST_RANGES:
+        shift = F.broadcast(shift)
+    return raw.join(shift, ["file", "range_at"]).select((F.col("at") + F.col("shift")).alias("row_id"), "file", "line")
 
-def read_fasta(spark: SparkSession, path: str, single: str | None = None, chunk: int = CHUNK) -> DataFrame:
+
+def read_fasta(spark: SparkSession, path: str | list[str], single: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """A genome as rows of fixed size: chrom, chunk_id, start, seq (upper case).
 
     A record's name is the header up to the first space; unknown names and records with a blank inside a sequence line
-    are left out, a blank line ends a record. With `single` all sequence lines make one record of that name.
-    Files are split at headers, so a record and not the file is what one task streams through.
+    are left out, a blank line ends a record, and so does the end of a file. With `single` all sequence lines of the file
+    make one record of that name. Names are taken to stand once.
+
+    Files are read by byte range, so a record is cut by many tasks: running sums over the lines (by stretches of them, with
+    carried totals) tell each line its record and its place in it, and lines are then gathered chunk by chunk. A line may be
+    as long as the whole record.
     """
+    line = F.col("line")
+    header, blank = line.startswith(">"), F.trim(F.translate(line, "\t", " ")) == ""
+    told = running(
+        lines(spark, path).withColumn("bases", F.upper(F.translate(line, " \t", ""))), ["file"], [F.col("row_id")], "row_id",
+        record=("sum", header.cast("int"), True), blanks=("sum", blank.cast("int"), True), total=("sum", F.when(header, 0).otherwise(F.length("bases")), False),
+    ).withColumn("total", F.coalesce("total", F.lit(0)))
+    body = told.where(~header & ~blank)
     if single is not None:
-        text = spark.read.text(path, wholetext=True).select(F.lit(single).alias("name"), F.col("value").alias("body"))
-        text = text.withColumn("body", F.regexp_replace("body", r"(?m)^>.*$", ""))
+        rows = body.select(F.lit(single).alias("chrom"), F.col("total").alias("at"), "bases")
     else:
-        # lineSep cuts the file at ">", so each row is one record
-        text = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("record"))
-        body = F.regexp_replace(F.expr("substring(record, length(substring_index(record, '\n', 1)) + 2)"), "\r", "")
-        text = text.select(F.split("record", r"[ \n\r]", 2)[0].alias("name"), F.split(body, r"\n\s*\n", 2)[0].alias("body"))
-        text = text.where(F.col("name").isin(CHROMOSOMES) & ~F.col("body").contains(" "))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = "".join(body.split()).upper()
-                for i in range(0, len(seq), chunk):
-                    yield pa.RecordBatch.from_pydict({"chrom": [name], "chunk_id": pa.array([i // chunk], pa.int32()), "start": pa.array([i], pa.int32()), "seq": [seq[i : i + chunk]]})
-
-    return text.mapInArrow(cut, "chrom string, chunk_id int, start int, seq string")
+        first = lambda c: F.min(F.when(c, F.col("row_id")))
+        of_header = lambda c: F.max(F.when(header, c))
+        heads = told.groupBy("file", "record").agg(of_header(F.split(F.substr("line", F.lit(2)), " ", 2)[0]).alias("chrom"), of_header(F.col("total")).alias("began"), F.min("blanks").alias("blanks_before"), first(blank).alias("blank_at"), first(~header & ~blank & line.contains(" ")).alias("space_at"))
+        # a blank inside a line counts only before the record's first blank line
+        sound = heads.where(F.col("chrom").isin(CHROMOSOMES) & (F.col("space_at").isNull() | (F.col("space_at") > F.col("blank_at"))))
+        known = sound.select("file", "record", "chrom", "began", "blanks_before")
+        known = F.broadcast(known) if few_files(spark, path) else known  # at most 48 names a file
+        rows = body.join(known, ["file", "record"]).where("blanks = blanks_before").select("chrom", (F.col("total") - F.col("began")).alias("at"), "bases")
+    # a line is cut into pieces of a chunk's size first, so that a long one is gone through once
+    short = rows.select("chrom", "at", F.posexplode(F.regexp_extract_all("bases", F.lit(f".{{1,{chunk}}}"), F.lit(0))).alias("i", "bases")).withColumn("at", F.col("at") + F.col("i") * chunk)
+    end = F.col("at") + F.length("bases")
+    ids = F.explode(F.sequence(F.floor(F.col("at") / chunk).cast("int"), F.floor((end - 1) / chunk).cast("int"))).alias("chunk_id")
+    cut = short.select("chrom", "at", "bases", ids).withColumn("from", F.greatest("at", F.col("chunk_id").cast("long") * chunk))
+    length = (F.least(end, (F.col("chunk_id").cast("long") + 1) * chunk) - F.col("from")).cast("int")
+    pieces = cut.select("chrom", "chunk_id", F.struct("from", F.substr("bases", (F.col("from") - F.col("at") + 1).cast("int"), length).alias("part")).alias("piece"))
+    gathered = pieces.groupBy("chrom", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["part"]), "").alias("seq"))
+    return gathered.select("chrom", "chunk_id", (F.col("chunk_id") * chunk).cast("int").alias("start"), "seq")
 
 
 def genome_windows(genome: DataFrame, windows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -61,6 +90,17 @@ def genome_windows(genome: DataFrame, windows: DataFrame, chunk: int = CHUNK) ->
     return windows.join(joined, key, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+def short_windows(genome: DataFrame, windows: DataFrame, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """genome_windows for windows of at most `longest` bases (no more than a chunk): each chunk gets the first bases of the
+    next, so that a window lies in one row and one join finds it."""
+    g = genome.select("chrom", "chunk_id", F.col("start").alias("g_start"), "seq")
+    following = genome.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"), F.left("seq", F.lit(longest)).alias("more"))
+    wide = g.join(following, ["chrom", "chunk_id"], "left").select("chrom", "chunk_id", "g_start", F.concat("seq", F.coalesce("more", F.lit(""))).alias("seq"))
+    asked = windows.withColumn("chunk_id", F.floor(F.col("start") / chunk).cast("int"))
+    seq = F.substr("seq", F.col("start") - F.col("g_start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
+    return asked.join(wide, ["chrom", "chunk_id"], "left").withColumn("seq", F.coalesce(seq, F.lit(""))).drop("chunk_id", "g_start")
+
+
 def derived(df: DataFrame) -> DataFrame:
     """Add multi, mil and mdl from ref and alts."""
     over = lambda a, b: F.greatest(F.lit(0), F.array_max(F.transform("alts", lambda x: a(x) - b(x)))).cast("int")
@@ -68,28 +108,30 @@ def derived(df: DataFrame) -> DataFrame:
     return df.withColumns({"multi": F.size("alts") > 1, "mil": over(alt, ref), "mdl": over(ref, alt)})
 
 
-def read_vcf(spark: SparkSession, path: str, side: str = BASELINE, query_id: int = 0, genome: DataFrame | None = None, use_genotype: bool = True, keep_line: bool = False, filters: bool = True, longest: int | None = None) -> DataFrame:
-    """Variants of a VCF text file.
+def read_vcf(spark: SparkSession, path: str | list[str], side: str = BASELINE, query_id: int = 0, genome: DataFrame | None = None, use_genotype: bool = True, keep_line: bool = False, filters: bool = True, longest: int | None = None) -> DataFrame:
+    """Variants of VCF text files.
 
     Fields are split at tabs without empty ones; rows of under six fields are left out. Genotypes are read through the
     FORMAT of the first full row, up to the first row that has under ten fields or whose genotype has not two parts;
     from there on rows have no genotype. 0/0 rows, indels of over 100 bases and (given a genome) rows on other
     chromosomes are left out, and with `longest` those with an allele of so many bases or more. Rows are in the order of
-    the file, so this reads one file; query_qualities() has the cut-offs' population.
+    the files by name, and each file has its own FORMAT and its own end of genotypes; query_qualities() has the cut-offs'
+    population.
     """
+    one_each = F.broadcast if few_files(spark, path) else lambda df: df  # a row per file
     raw = lines(spark, path).where((F.length("line") > 1) & ~F.col("line").startswith("#"))
     raw = raw.withColumn("cols", split_nonempty(F.col("line"), "\t"))
     col = lambda i: F.get("cols", F.lit(i))
     wide = F.size("cols") >= 10
-    index = raw.where(wide).agg(F.min_by(col(8), "row_id").alias("format")).select((F.array_position(F.split("format", ":"), "GT") - 1).cast("int").alias("gt_at"))
-    rows = raw.join(F.broadcast(index))  # one row
+    index = raw.where(wide).groupBy("file").agg(F.min_by(col(8), "row_id").alias("format")).select("file", (F.array_position(F.split("format", ":"), "GT") - 1).cast("int").alias("gt_at"))
+    rows = raw.join(one_each(index), "file", "left")
     token = F.when(wide & (F.col("gt_at") >= 0), F.get(F.split(col(9), ":"), F.col("gt_at")))
     rows = rows.withColumn("gt", token)
     slash, bar = F.split("gt", "/", -1), F.split("gt", r"\|", -1)
     parts = F.when(F.size(slash) == 2, slash).when(F.size(bar) == 2, bar)
     rows = rows.withColumn("gts", parts)
-    first_bad = rows.where(F.col("gts").isNull()).agg(F.min("row_id").alias("off_at"))
-    rows = rows.join(F.broadcast(first_bad))  # one row
+    first_bad = rows.where(F.col("gts").isNull()).groupBy("file").agg(F.min("row_id").alias("off_at"))
+    rows = rows.join(one_each(first_bad), "file", "left")
     on = F.lit(use_genotype) & (F.col("off_at").isNull() | (F.col("row_id") < F.col("off_at")))
     rows = rows.where(F.size("cols") >= 6).withColumn("gts", F.when(on, F.col("gts")))
     out = _variants(rows, col, side, query_id, genome, keep_line, filters)
