@@ -4,22 +4,28 @@ A row opens a new cluster where the gap to the greatest end so far is at least 2
 changes lengths, or the gap is longer than twice the change that could have built up and is not a tandem repeat (repeats
 are not looked for in gaps of over 1000 bases).
 
-The rule depends on what the cluster has gathered, so it is a fold; but the fold need not run over a chromosome. Gaps
-come from a running maximum (running.py). A gap of over 1000 bases that is longer than twice the sum of all changes since
-the last such gap is a split whatever happened before: such gaps cut chromosomes into islands. Islands are folded one by
-one and dealt to all tasks by (chrom, island).
+The rule depends on what the cluster has gathered, so it is a fold; but the fold composes. A stretch of a chromosome is
+summed up as a function of what comes into it: where it first ends the incoming cluster for which incoming changes, and what
+it leads to from there. All stretches are summed up at once, the summaries of a chromosome (a row per stretch) are composed
+in order, and then all stretches are numbered at once, each from what comes into it. So a chromosome without any wide gap is
+no task, and what a task holds is a stretch. Gaps come from a running maximum (running.py).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import comparison_order, is_tandem_repeat
+from ..kept import drop, keep
 from ..model import MAX_REPEAT
-from ..sources.readers import genome_windows
-from .running import running
+from ..sources.readers import genome_windows, short_windows
+from .running import WIDTH, running
 
 
 def total_order(rows: DataFrame) -> list[Column]:
@@ -33,72 +39,132 @@ def running_gaps(both: DataFrame, order: list[Column] | None = None) -> DataFram
     return out.withColumn("gap", F.col("pos") - F.col("run_end"))
 
 
-def islands(gapped: DataFrame) -> DataFrame:
-    """Number of the island of each row, and its number on the chromosome (seq_no). A wide gap is certain where it exceeds
-    twice the change gathered since the gap of over 1000 bases before it; uncertain ones join two islands, which can only
-    make islands larger, never wrong."""
-    wide = F.coalesce(F.col("gap") > MAX_REPEAT, F.lit(False))
-    marked = running(gapped, ["chrom"], total_order(gapped), wide_no=("sum", wide.cast("int"), True), seq_no=("sum", F.lit(1), True))
-    # the sum of all changes since the last certain gap bounds what may have built up before a gap
-    sums = marked.groupBy("chrom", "wide_no").agg(F.sum(F.col("mil") + F.col("mdl")).alias("change"), F.max(F.when(wide, F.col("gap"))).alias("wide_gap"))
-    return marked.join(certain_edges(sums), ["chrom", "wide_no"]).drop("wide_no")
-
-
-def certain_edges(sums: DataFrame) -> DataFrame:
-    """Fold the stretches of each chromosome (one row each, a thousandth of the rows or fewer) into islands."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("wide_no")
-        since, island, out = 0, 0, []
-        for change, gap in zip(frame["change"], frame["wide_gap"]):
-            if gap == gap and gap > 2 * since:
-                island, since = island + 1, 0
-            since += int(change)
-            out.append(island)
-        return frame[["chrom", "wide_no"]].assign(island=out)
-
-    return sums.select("chrom", "wide_no", "change", F.col("wide_gap").cast("double").alias("wide_gap")).groupBy("chrom").applyInPandas(fold, "chrom string, wide_no long, island int")
-
-
-def fold_island(frame: pd.DataFrame) -> pd.DataFrame:
-    """Number the clusters of one island."""
-    frame = frame.sort_values("seq_no")
-    inserted, deleted = {"baseline": 0, "query": 0}, {"baseline": 0, "query": 0}
-    n, out = 0, []
-    for gap, repeat, side, mil, mdl in zip(frame["gap"], frame["is_repeat"], frame["side"], frame["mil"], frame["mdl"]):
-        if gap == gap and gap >= 2 and out:
-            change = max(inserted["baseline"] + deleted["query"], inserted["query"] + deleted["baseline"])
-            if change == 0 or (gap > 2 * change and (gap > MAX_REPEAT or not repeat)):
-                n += 1
-                inserted, deleted = {"baseline": 0, "query": 0}, {"baseline": 0, "query": 0}
-        inserted[side] += int(mil)
-        deleted[side] += int(mdl)
+@dataclass(frozen=True)
+class Rule:
+    """What the changes of a cluster are and when a gap of at least 2 ends it. two_sides: insertions of one side add to
+    deletions of the other, else the rows are one set and the larger of its insertions and deletions counts. free: where
+    nothing changes lengths every gap ends the cluster, else a tandem repeat never does."""
+
+    two_sides: bool = True
+    free: bool = True
+
+
+LIVE, HAPLOID, ONE_SET = Rule(), Rule(free=False), Rule(two_sides=False, free=False)
+
+
+def with_rule(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Add what the fold needs: du and dv, the row's part of the two sums of changes, and most, the largest change that the
+    cluster may have gathered where it ends before this row (-1: it goes on in any case)."""
+    swapped = (F.col("side") == "query") & F.lit(rule.two_sides)
+    open_gap = F.floor((F.col("gap") - 1) / 2).cast("int")
+    most = F.when(F.coalesce(F.col("gap"), F.lit(0)) < 2, -1).when(F.col("is_repeat"), 0 if rule.free else -1).otherwise(open_gap)
+    return rows.withColumns({"du": F.when(swapped, F.col("mdl")).otherwise(F.col("mil")), "dv": F.when(swapped, F.col("mil")).otherwise(F.col("mdl")), "most": most})
+
+
+def summary(most: list[int], du: list[int], dv: list[int]) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """What a stretch of rows does to a cluster that comes in with changes (u, v), whatever they are.
+
+    The cluster ends at the first row whose `most` is not below u and v plus what the rows before it add. So the rows that can
+    be first are those that bound u or v less than all before them; each comes with where the stretch leads once it has cut
+    there: (bound of u, bound of v, u and v at the end, clusters begun). A cluster that meets no bound goes on with the sums."""
+    ends: dict[int, tuple[int, int, int]] = {}
+
+    def after(i: int) -> tuple[int, int, int]:
+        """Changes at the end of the stretch, and clusters begun, after a cut before row i."""
+        chain = []
+        while i not in ends:
+            u, v, k = du[i], dv[i], i + 1
+            while k < len(most) and max(u, v) > most[k]:
+                u, v, k = u + du[k], v + dv[k], k + 1
+            chain.append(i)
+            if k == len(most):
+                ends[i] = u, v, 1
+                break
+            i = k
+        for j in reversed(chain):
+            if j not in ends:
+                u, v, n = ends[i]
+                ends[j] = u, v, n + 1
+            i = j
+        return ends[i]
+
+    bounds, u, v = [], 0, 0
+    for i, m in enumerate(most):
+        a, b = m - u, m - v
+        if a >= 0 and b >= 0 and not any(a <= x[0] and b <= x[1] for x in bounds):
+            bounds.append((a, b, *after(i)))
+        u, v = u + du[i], v + dv[i]
+    return bounds, u, v
+
+
+SUMMARY = "chrom string, stretch long, bounds array<struct<a: long, b: long, u: long, v: long, n: long>>, u long, v long"
+CARRY = "chrom string, stretch long, u_in long, v_in long, n_in long"
+
+
+def summarize(table: pa.Table) -> pa.Table:
+    table = table.sort_by("seq_no")
+    bounds, u, v = summary(*(table.column(c).to_pylist() for c in ("most", "du", "dv")))
+    told = {"chrom": [table.column("chrom")[0].as_py()], "stretch": [table.column("stretch")[0].as_py()], "bounds": [[dict(zip("abuvn", x)) for x in bounds]], "u": [u], "v": [v]}
+    long = pa.int64()
+    return pa.table(told, pa.schema([("chrom", pa.string()), ("stretch", long), ("bounds", pa.list_(pa.struct([(c, long) for c in "abuvn"]))), ("u", long), ("v", long)]))
+
+
+def carries(frame: pd.DataFrame) -> pd.DataFrame:
+    """Compose the summaries of a chromosome (a row per stretch): what comes into each stretch."""
+    u = v = n = 0
+    out = []
+    for r in frame.sort_values("stretch").itertuples():
+        out.append((r.chrom, r.stretch, u, v, n))
+        hit = next((x for x in r.bounds if u <= x["a"] and v <= x["b"]), None)
+        u, v, n = (r.u + u, r.v + v, n) if hit is None else (hit["u"], hit["v"], n + hit["n"])
+    return pd.DataFrame(out, columns=["chrom", "stretch", "u_in", "v_in", "n_in"])
+
+
+def number(table: pa.Table) -> pa.Table:
+    """The fold over one stretch, from what comes in."""
+    table = table.sort_by("seq_no")
+    u, v, n = (table.column(c)[0].as_py() for c in ("u_in", "v_in", "n_in"))
+    out = []
+    for m, x, y in zip(*(table.column(c).to_pylist() for c in ("most", "du", "dv"))):
+        if max(u, v) <= m:
+            u, v, n = 0, 0, n + 1
+        u, v = u + x, v + y
         out.append(n)
-    return frame.assign(cluster_seq=out)[["chrom", "island", "seq_no", "cluster_seq"]]
+    return table.append_column("cluster_no", pa.array(out, pa.int64()))
 
 
-def cluster(both: DataFrame, genome: DataFrame | None = None, backwards: bool = False) -> DataFrame:
-    """Rows of both sides with cluster_id (chrom:island:number). Without a genome no gap counts as a repeat.
+def cluster(both: DataFrame, genome: DataFrame | None = None, backwards: bool = False, rule: Rule = LIVE, width: int = WIDTH) -> DataFrame:
+    """Rows of both sides with cluster_id (chrom:number), as a kept table. Without a genome no gap counts as a repeat.
 
     Backwards, a row joins the rows after it: gaps are measured from its end to the least start of those, and what a
     cluster has gathered is their change. That is the same fold over mirrored positions, numbered from the right."""
     length = F.length("ref")
     if backwards:
         both = both.withColumn("pos", -(F.col("pos") + length))
-    rows = islands(running_gaps(both))
+    gapped = running(both, ["chrom"], total_order(both), width=width, run_end=("max", F.col("pos") + length, False), seq_no=("sum", F.lit(1), True))
+    rows = gapped.withColumns({"gap": F.col("pos") - F.col("run_end"), "stretch": F.floor(F.col("pos") / width)})
+    held = []
     if genome is None:
         rows = rows.withColumn("is_repeat", F.lit(False))
     else:
+        rows = keep(rows, "gaps")
+        held.append(rows)
         start, end = (-F.col("pos"), F.col("gap") - F.col("pos")) if backwards else (F.col("run_end"), F.col("pos"))
-        asked = rows.where(F.col("gap").between(2, MAX_REPEAT)).select("chrom", "seq_no", start.alias("start"), end.alias("end"))
-        told = genome_windows(genome, asked).select("chrom", "seq_no", is_tandem_repeat(F.col("seq")).alias("is_repeat"))
-        rows = rows.join(told, ["chrom", "seq_no"], "left").withColumn("is_repeat", F.coalesce("is_repeat", F.lit(False)))
-    slim = rows.select("chrom", "island", "seq_no", F.col("gap").cast("double").alias("gap"), "is_repeat", "side", "mil", "mdl")
-    numbered = slim.groupBy("chrom", "island").applyInPandas(fold_island, "chrom string, island int, seq_no long, cluster_seq int")
-    out = rows.join(numbered, ["chrom", "island", "seq_no"])
+        asked = F.coalesce(F.col("gap").between(2, MAX_REPEAT), F.lit(False))
+        told = short_windows(genome, rows.where(asked).withColumns({"start": start, "end": end}), MAX_REPEAT)
+        rows = rows.where(~asked).withColumn("is_repeat", F.lit(False)).unionByName(told.withColumn("is_repeat", is_tandem_repeat(F.col("seq"))).drop("start", "end", "seq"))
+    ready = keep(with_rule(rows, rule), "changes")
+    held.append(ready)
+    sums = ready.select("chrom", "stretch", "seq_no", "most", "du", "dv").groupBy("chrom", "stretch").applyInArrow(summarize, SUMMARY)
+    carry = sums.groupBy("chrom").applyInPandas(carries, CARRY)
+    joined = ready.join(carry, ["chrom", "stretch"])
+    numbered = joined.groupBy("chrom", "stretch").applyInArrow(number, T.StructType([*joined.schema, T.StructField("cluster_no", T.LongType())]))
+    out = numbered.withColumn("cluster_id", F.concat_ws(":", "chrom", F.col("cluster_no").cast("string")))
     if backwards:
         out = out.withColumn("pos", -(F.col("pos") + length))
-    return out.withColumn("cluster_id", F.concat_ws(":", "chrom", F.col("island").cast("string"), F.col("cluster_seq").cast("string"))).drop("island", "seq_no", "cluster_seq", "run_end", "gap", "is_repeat")
+    found = keep(out.select(*both.columns, "cluster_id"), "clusters")
+    drop(*held)
+    return found
 
 
 def cluster_unchanging(both: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import comparison_order, edit_distance_by_choice
+from ..kept import keep
 from ..model import SINGLE_LIMIT, Scoring
 from ..sources.readers import genome_windows
 from .exact import same_genotype
@@ -68,6 +69,7 @@ def match_clusters(clustered: DataFrame, genome: DataFrame, thresholds: DataFram
     order = [c.alias(f"o{i}") for i, c in enumerate(comparison_order())]
     fields = ["side", "pos", "ref", "alts", "het", "multi", "zero_one", "mil", "mdl"]
     both = clustered.groupBy("query_id", "chrom", "cluster_id").agg(F.array_sort(F.collect_list(F.struct(*order, *fields, "qual"))).alias("gathered"), F.count_distinct("side").alias("sides")).where("sides = 2")
+    both = keep(both, "gathered")  # the cut-offs and the two ways below read it
     cut = both.join(F.broadcast(thresholds.select("t", "qual_min")))  # five rows at most
     key = ["query_id", "t", "chrom", "cluster_id"]
     count = lambda side: F.size(F.filter("rows", lambda r: r["side"] == side))

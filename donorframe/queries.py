@@ -228,32 +228,48 @@ def genome(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
     return F.broadcast(names).join(bases).select("chrom", "chunk_id", (F.col("chunk_id") * chunk).cast("int").alias("start"), "seq")
 
 
-# The same digits, refs and genome in SQL, and the clustering rule as a fold over the rows of every chromosome.
+# The same digits, refs and genome in SQL.
 DIGITS_SQL = "CASE WHEN ascii(md5(CAST(({0}) // 4 AS VARCHAR))) % 4 = 0 THEN repeat('0123', 8) ELSE md5(CAST({0} AS VARCHAR)) END"
 VARIED_SQL = f"instr('0123456789abcdef', substr({DIGITS_SQL.format('(pos // 32)')}, 1 + pos % 32, 1)) - 1"
-BETWEEN = f"substr(translate(array_to_string(list_transform(range(run_end // 32, (pos - 1) // 32 + 1), lambda i: {DIGITS_SQL.format('i')}), ''), '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(1 + run_end % 32 AS INT), gap)"
 REPEATED = "length(s) = 1 OR len(list_filter(range(1, length(s) // 2 + 1), lambda u: substr(s, 1, u * (length(s) // u)) = repeat(substr(s, 1, u), length(s) // u))) > 0"
-CLUSTERS = f"""WITH RECURSIVE {view_sql(VARIED_SQL)},
-o AS (SELECT *, row_number() OVER w AS rn, max(pos + length(ref)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_end FROM v
-  WINDOW w AS (PARTITION BY chrom ORDER BY pos, CASE side WHEN 'query' THEN 0 ELSE 1 END, row_id, ref, alts, qual)),
-g AS (SELECT *, pos - run_end AS gap FROM o),
+BETWEEN = f"substr(translate(array_to_string(list_transform(range(s0 // 32, (s0 + gap - 1) // 32 + 1), lambda i: {DIGITS_SQL.format('i')}), ''), '0123456789abcdef', 'ACGTACGTACGTACGT'), CAST(1 + s0 % 32 AS INT), gap)"
+
+
+def clusters_sql(rows: str = "v", backwards: bool = False, two_sides: bool = True, free: bool = True) -> str:
+    """The clustering rule as a fold over all rows of each chromosome, one after the other."""
+    at = "-(pos + length(ref))" if backwards else "pos"
+    query = "b" if two_sides else "true"  # whether a row's insertions go to the first sum
+    no_change = "greatest(u, v) = 0 OR " if free else ""
+    return f"""WITH RECURSIVE {view_sql(VARIED_SQL)},
+p AS (SELECT *, {at} AS place FROM {rows}),
+o AS (SELECT *, row_number() OVER w AS rn, max(place + length(ref)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_end FROM p
+  WINDOW w AS (PARTITION BY chrom ORDER BY place, CASE side WHEN 'query' THEN 0 ELSE 1 END, row_id, ref, alts, qual)),
+g AS (SELECT *, place - run_end AS gap, {"-place" if backwards else "run_end"} AS s0 FROM o),
 apart AS (SELECT chrom, rn, {BETWEEN} AS s FROM g WHERE gap BETWEEN 2 AND 1000),
-r AS MATERIALIZED (SELECT g.chrom, g.rn, gap, side = 'baseline' AS b, mil, mdl, coalesce({REPEATED}, false) AS same FROM g LEFT JOIN apart USING (chrom, rn)),
-f AS (SELECT chrom, rn, CASE WHEN b THEN mil ELSE 0 END AS bi, CASE WHEN b THEN mdl ELSE 0 END AS bd, CASE WHEN b THEN 0 ELSE mil END AS qi, CASE WHEN b THEN 0 ELSE mdl END AS qd, 0 AS n FROM r WHERE rn = 1
-  UNION ALL SELECT chrom, rn, CASE WHEN cut THEN 0 ELSE bi END + CASE WHEN b THEN mil ELSE 0 END, CASE WHEN cut THEN 0 ELSE bd END + CASE WHEN b THEN mdl ELSE 0 END,
-    CASE WHEN cut THEN 0 ELSE qi END + CASE WHEN b THEN 0 ELSE mil END, CASE WHEN cut THEN 0 ELSE qd END + CASE WHEN b THEN 0 ELSE mdl END, n + CASE WHEN cut THEN 1 ELSE 0 END
-  FROM (SELECT r.*, bi, bd, qi, qd, n, gap >= 2 AND (greatest(bi + qd, qi + bd) = 0 OR (gap > 2 * greatest(bi + qd, qi + bd) AND (gap > 1000 OR NOT same))) AS cut FROM f JOIN r ON r.chrom = f.chrom AND r.rn = f.rn + 1))
+r AS MATERIALIZED (SELECT g.chrom, g.rn, gap, CASE WHEN {query} THEN mil ELSE mdl END AS du, CASE WHEN {query} THEN mdl ELSE mil END AS dv, coalesce({REPEATED}, false) AS same
+  FROM (SELECT *, side = 'baseline' AS b FROM g) g LEFT JOIN apart USING (chrom, rn)),
+f AS (SELECT chrom, rn, du AS u, dv AS v, 0 AS n FROM r WHERE rn = 1
+  UNION ALL SELECT chrom, rn, CASE WHEN cut THEN 0 ELSE u END + du, CASE WHEN cut THEN 0 ELSE v END + dv, n + CASE WHEN cut THEN 1 ELSE 0 END
+  FROM (SELECT r.*, u, v, n, gap >= 2 AND ({no_change}(gap > 2 * greatest(u, v) AND (gap > 1000 OR NOT same))) AS cut FROM f JOIN r ON r.chrom = f.chrom AND r.rn = f.rn + 1))
 SELECT {ROW}, side, chrom || ':' || min(pos) OVER (PARTITION BY chrom, n) AS cluster_id FROM g JOIN f USING (chrom, rn)"""
 
 
-def cluster_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clustering_query(name: str, side: str | None = None, backwards: bool = False, rule: clustering.Rule = clustering.LIVE) -> None:
     """Clusters over the varied genome, named by their chromosome and least position."""
-    found = clustering.cluster(variants(spark, sf_dir, VARIED), genome(spark, sf_dir))
-    least = F.min("pos").over(Window.partitionBy("cluster_id"))
-    return shown(found.withColumn("cluster_id", F.concat_ws(":", "chrom", least.cast("string"))), "side", "cluster_id")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = variants(spark, sf_dir, VARIED)
+        found = clustering.cluster(rows if side is None else rows.where(F.col("side") == side), genome(spark, sf_dir), backwards, rule)
+        least = F.min("pos").over(Window.partitionBy("cluster_id"))
+        return shown(found.withColumn("cluster_id", F.concat_ws(":", "chrom", least.cast("string"))), "side", "cluster_id")
+
+    QUERIES[name], SQL[name] = run, clusters_sql("v" if side is None else side[0], backwards, rule.two_sides, rule.free)
 
 
-QUERIES["cluster_general"], SQL["cluster_general"] = cluster_general, CLUSTERS
+clustering_query("cluster_general")
+clustering_query("cluster_backwards", backwards=True)
+clustering_query("cluster_haploid", rule=clustering.HAPLOID)
+clustering_query("cluster_one_set", side="baseline", rule=clustering.ONE_SET)
 
 
 def matching(unit: int, mode: int, scheme: int):
