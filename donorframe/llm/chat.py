@@ -11,7 +11,8 @@ Template: a turn is `<s>[ROLE]role[/ROLE]text</s>`. Inside roles and texts `\\`,
 Defined cases: a null or empty text is an empty one, a null role the role "" (never trainable); turns are ordered by turn
 (nulls first), ties by role and text; repeated rows are turns of their own; rows with a null conv_id form one
 conversation; an empty table gives no rows; other columns are ignored. A SHA-256 runs over one string, so one
-conversation's turns meet in one row.
+conversation's turns meet in one row; what is done with them takes time in proportion to their length (times the logarithm
+of the turns).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, scan
+
 # The template's control strings.
 OPEN, ROLE_OPEN, ROLE_CLOSE, CLOSE = "<s>", "[ROLE]", "[/ROLE]", "</s>"
 TRAINED = "assistant"
@@ -42,24 +45,33 @@ def render(turns: DataFrame) -> DataFrame:
     rows = slim.select("conv_id", F.struct("turn", "role", "text", head.alias("head"), body.alias("body")).alias("t"))
     by_conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     by_conv = by_conv.select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), F.concat(t.head, t.body, F.lit(CLOSE)).alias("all"), F.length(t.head).alias("head"), F.length(t.body).alias("body"))).alias("turns"))
-    # one fold carries the end of the prefix and the spans met so far
-    span = "struct<turn: int, prefix_chars: bigint, loss_start: bigint, loss_chars: bigint>"
+    ends = scan(F.transform("turns", lambda t: F.length(t["all"]).cast("long")))
+
+    def span(t: Column, i: Column) -> Column:
+        start = F.get("ends", i) - F.length(t["all"]) + t["head"]
+        return F.when(t["role"] == TRAINED, F.struct(i.alias("turn"), F.get("ends", i).alias("prefix_chars"), start.alias("loss_start"), t["body"].cast("long").alias("loss_chars")))
+
+    formatted = F.array_join(F.transform("turns", lambda t: t["all"]), "")
+    return by_conv.withColumn("ends", ends).select("conv_id", formatted.alias("formatted"), F.array_compact(F.transform("turns", span)).alias("examples"))
+
+
+def replies(formatted: Column, examples: Column) -> Column:
+    """What stands under each example's loss mask, unescaped. The control string that ends a turn cuts the formatted text
+    into turns, and running sums of their lengths tell where each begins, so a mask is read from its own turn."""
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc.at + t["head"]
-        one = F.struct(acc.n.alias("turn"), (start + t["body"] + len(CLOSE)).alias("prefix_chars"), start.alias("loss_start"), t["body"].cast("long").alias("loss_chars")).cast(span)
-        return F.struct((acc.at + t["head"] + t["body"] + len(CLOSE)).alias("at"), (acc.n + 1).alias("n"), F.when(t.role == TRAINED, F.concat(acc.spans, F.array(one))).otherwise(acc.spans).alias("spans"))
+    def told(x: Column) -> Column:
+        under = lambda e: F.substr(F.get(x["turns"], e["turn"]), (e["loss_start"] - F.get(x["ends"], e["turn"]) + F.length(F.get(x["turns"], e["turn"])) + len(CLOSE) + 1).cast("int"), e["loss_chars"].cast("int"))
+        return F.transform(examples, lambda e: unescape(under(e)))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{span}>").alias("spans"))
-    return by_conv.select("conv_id", F.array_join(F.transform("turns", lambda t: t["all"]), "").alias("formatted"), F.aggregate("turns", zero, step, lambda acc: acc.spans).alias("examples"))
+    return let(F.split(formatted, CLOSE, -1), lambda turns: let(F.struct(turns.alias("turns"), scan(F.transform(turns, lambda t: F.length(t).cast("long") + len(CLOSE))).alias("ends")), told))
 
 
 def expand(rendered: DataFrame, *more: str) -> DataFrame:
     """One row per assistant turn of render()'s conversations: conv_id, turn, prefix_chars, loss_start, loss_chars, reply
     (what stands under the example's loss mask, unescaped), and more columns. A conversation without such a turn has one
     row of nulls."""
-    one = lambda e: F.struct(e["turn"].alias("turn"), e["prefix_chars"].alias("prefix_chars"), e["loss_start"].alias("loss_start"), e["loss_chars"].alias("loss_chars"), unescape(F.substr("formatted", e["loss_start"].cast("int") + 1, e["loss_chars"].cast("int"))).alias("reply"))
-    return rendered.select("conv_id", *more, F.explode_outer(F.transform("examples", one)).alias("e")).select("conv_id", *more, "e.*")
+    listed = F.zip_with("examples", replies(F.col("formatted"), F.col("examples")), lambda e, r: F.struct(e["turn"].alias("turn"), e["prefix_chars"].alias("prefix_chars"), e["loss_start"].alias("loss_start"), e["loss_chars"].alias("loss_chars"), r.alias("reply")))
+    return rendered.select("conv_id", *more, F.explode_outer(listed).alias("e")).select("conv_id", *more, "e.*")
 
 
 def examples(turns: DataFrame, texts: bool = False) -> DataFrame:
@@ -78,8 +90,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
     pieces = F.filter(F.split("formatted", CLOSE, -1), lambda p: p != "")
     mark = lambda p: F.substring_index(p, ROLE_CLOSE, 1)
     turns = F.transform(pieces, lambda p: F.struct(unescape(F.substr(mark(p), F.lit(len(OPEN + ROLE_OPEN) + 1))).alias("role"), unescape(F.substr(p, F.length(mark(p)) + len(ROLE_CLOSE) + 1)).alias("text")))
-    trained = F.transform("examples", lambda e: unescape(F.substr("formatted", e.loss_start.cast("int") + 1, e.loss_chars.cast("int"))))
-    return rendered.withColumn("turns", turns).withColumn("trained", trained)
+    return rendered.withColumn("turns", turns).withColumn("trained", replies(F.col("formatted"), F.col("examples")))
 
 
 def digest(turns: DataFrame) -> DataFrame:

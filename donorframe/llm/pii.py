@@ -13,7 +13,7 @@ points. Patterns are written so that the JVM needs no backtracking over long run
 What generators propose: a secret is a run of 20 or more of its characters with a digit among its first 65; context is the
 CONTEXT characters before a span. A text without any digit or @ can hold no span of any kind.
 
-Defined cases: very long texts are matched whole; a null or empty text has no spans; null ids and repeated rows are kept; an empty table gives no rows;
+Defined cases: very long texts are matched whole, in time that grows with their matches (times the logarithm); a null or empty text has no spans; null ids and repeated rows are kept; an empty table gives no rows;
 other columns are ignored by find() and kept by redact().
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import unused
+from .arrays import blocks, cut, let, scan
 
 # Kinds in their order of listing.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -51,19 +52,16 @@ def proposals(text: Column, kind: str) -> Column:
     """Array of (start, end, match, before, after) of a kind's generator."""
     pattern, test = PATTERNS[kind]
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, 1, F.size(between) - 1), matches, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
     kind_of = "struct<start: int, end: int, match: string, before: string, after: string>"
+    after = (lambda between, i: F.left(F.get(between, i + 1), F.lit(1))) if kind in ("id", "secret") else (lambda between, i: F.lit(""))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc.at + F.length(p.b)
-        end = start + F.length(p.m)
-        one = F.struct(start.alias("start"), end.alias("end"), p.m.alias("match"), F.right(p.b, F.lit(CONTEXT)).alias("before"), F.lit("").alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc.spans, F.array(one)).alias("spans"))
+    def placed(both: Column) -> Column:
+        # texts between matches and matches alternate, so ends are running sums of their lengths
+        lengths = F.transform(both["m"], lambda m, i: F.length(F.get(both["b"], i)) + F.length(m))
+        one = lambda m, i, end, b: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"), F.right(b, F.lit(CONTEXT)).alias("before"), after(both["b"], i).alias("after"))
+        return let(scan(lengths), lambda ends: F.transform(both["m"], lambda m, i: one(m, i, F.get(ends, i), F.get(both["b"], i))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_of}>").alias("spans"))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc.spans)
-    if kind in ("id", "secret"):
-        found = F.zip_with(found, F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda s, b: F.struct(s.start.alias("start"), s.end.alias("end"), s.match.alias("match"), s.before.alias("before"), F.left(b, F.lit(1)).alias("after")))
+    found = let(F.struct(between.alias("b"), matches.alias("m")), placed)
     return F.when(text.rlike(test), found).otherwise(F.array().cast(f"array<{kind_of}>"))
 
 
@@ -235,12 +233,14 @@ def redact(docs: DataFrame) -> DataFrame:
     name = unused(docs, "found")
     work = docs.withColumn(name, F.when(F.col("text").isNotNull(), spans(F.col("text"))))
     text, names = F.col("text"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    larger = lambda a, b: F.greatest(a, b)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc.at
-        more = F.concat(acc.out, F.array(F.substr(text, acc.at + 1, s["start"] - acc.at), F.get(names, s["rank"])))
-        return F.struct(F.greatest(acc.at, s["end"]).alias("at"), F.when(fresh, more).otherwise(acc.out).alias("out"))
+    def clean(x: Column) -> Column:
+        """Texts between spans, and the names of those spans that begin where all before them have ended."""
+        told = F.transform(x["spans"], lambda s, i: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), F.coalesce(F.get(x["ends"], i - 1), F.lit(0)).alias("at")))
+        fresh = F.filter(told, lambda s: s["start"] >= s["at"])
+        return F.concat(F.array_join(F.transform(fresh, lambda s: F.concat(cut(x["cells"], s["at"], s["start"]), F.get(names, s["rank"]))), ""), cut(x["cells"], F.element_at(x["ends"], -1), x["n"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(name, zero, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(text, acc.at + 1)))
-    return work.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(text)).select(docs.columns)
+    ends = scan(F.transform(name, lambda s: s["end"]), larger)
+    cleaned = let(F.struct(F.col(name).alias("spans"), ends.alias("ends"), blocks(text).alias("cells"), F.length(text).alias("n")), clean)
+    return work.withColumn("text", F.when(F.size(name) > 0, cleaned).otherwise(text)).select(docs.columns)

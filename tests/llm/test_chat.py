@@ -42,3 +42,15 @@ def test_round_trip_and_expansion(spark):
         assert e.loss_start + e.loss_chars + 4 == e.prefix_chars and e.formatted.count("</s>") == e.turn + 1
     assert examples(df).count() == sum((r[2] == "assistant") for r in rows)
     assert digest(df.limit(0)).count() == 0
+
+
+def test_one_long_conversation(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["<s>", "[x] ", "a\\b", "é😀", "plain words "]) * rng.randint(0, 5)) for c, n in ((1, 40_000), (2, 3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    marks = {r.conv_id: r for r in digest(df).collect()}
+    for c in (1, 2):
+        turns = [r for r in rows if r[0] == c]
+        trained = "".join(r[3] for r in turns if r[2] == "assistant")
+        assert marks[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in turns).encode()).hexdigest()
+        assert marks[c].loss_sha256 == hashlib.sha256(trained.encode()).hexdigest() and marks[c].loss_chars == len(trained) and marks[c].n_turns == len(turns)

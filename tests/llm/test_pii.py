@@ -1,9 +1,13 @@
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from donorframe.llm.arrays import blocks, cut, let, scan
 from donorframe.llm.pii import FEATURES, _value, find, model, redact, training_rows
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -57,6 +61,30 @@ def test_added_spans_and_redaction(spark):
     assert redact(df).columns == df.columns and find(df.limit(0)).count() == 0
 
 
+def test_one_text_of_very_many_matches(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a@b.cd,", "1.2.3.4;", "é😀 ", "+1 (017) 555-7713 "]) for _ in range(120_000))
+    check(spark, [text, "x@y.org"])
+    df = spark.createDataFrame([(1, text), (2, "a 1.2.3.4@b.org c")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    at, out = 0, []
+    for start, _, end, kind in plain(text):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    assert got[1] == "".join(out) + text[at:] and got[2] == "a [EMAIL] c"
+
+
+def test_arrays(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)], "".join(rng.choice("aé😀\n") for _ in range(n * 40))) for i, n in enumerate([0, 1, 2, 3, 7, 64, 65, 100])]
+    df = spark.createDataFrame(rows, "i int, xs array<int>, text string")
+    got = {r.i: r for r in df.select("i", scan(F.col("xs")).alias("sums"), scan(F.col("xs"), lambda a, b: F.greatest(a, b)).alias("tops"), let(blocks(F.col("text")), lambda c: F.transform(F.sequence(F.lit(0), F.length("text"), F.lit(97)), lambda k: cut(c, k, F.least(k + 600, F.length("text"))))).alias("cuts")).collect()}
+    for i, xs, text in rows:
+        assert got[i].sums == list(itertools.accumulate(xs)) and got[i].tops == list(itertools.accumulate(xs, max))
+        assert got[i].cuts == [text[k : k + 600] for k in range(0, len(text) + 1, 97)]
+
+
 def test_model_held_out():
     x, y = training_rows()
     trees, least = model()
