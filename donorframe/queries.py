@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .model import scorings
 from .operators import clustering, exact, intervals, metrics
+from .operators.consuming import consuming_matches
 from .operators.matcher import match_clusters
+from .operators.normalize import normalize_variants
 from .operators.running import running
 from .sources.readers import CHUNK, derived, first_of_each
 
@@ -281,6 +283,20 @@ def matching(unit: int, mode: int, scheme: int):
     return run
 
 
+def match_consuming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal donors of both sides on one strand, round by round."""
+    g = genome(spark, sf_dir)
+    found = consuming_matches(clustering.cluster(variants(spark, sf_dir, VARIED), g, rule=clustering.HAPLOID), g)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "/").alias(c)
+    return found.select("cluster_id", "chrom", "round", "status", ids("b_rows"), ids("q_rows"), "pos", "ref", "alt")
+
+
+def left_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows over the varied genome, shifted to the left."""
+    return shown(normalize_variants(variants(spark, sf_dir, VARIED), genome(spark, sf_dir)), "side")
+
+
+QUERIES |= {"match_consuming": match_consuming, "left_normalized": left_normalized}
 for s in scorings():
     QUERIES[f"match_search_{s.unit}_{s.mode}_{s.scheme}"] = matching(s.unit, s.mode, s.scheme)
 
