@@ -185,11 +185,17 @@ def repeated(seq: str, gap: int) -> bool:
     return len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))
 
 
-def split_apart(frame: pd.DataFrame) -> pd.Series:
+def largest_change(frame: pd.DataFrame) -> int:
+    """The larger of a set's insertions and deletions."""
+    return max(int(frame["mil"].sum()), int(frame["mdl"].sum()))
+
+
+def split_apart(frame: pd.DataFrame, one_set: bool = False) -> pd.Series:
     """Divisive clustering of one cluster (rows with seq_no in order, and seq: the bases from the first row's end on).
 
     A part is cut at the gap between its first row's end and its last row's start, where that exceeds twice the lesser
-    change of the rows that start before the gap and of the others and is no repeat; both parts are cut in their turn."""
+    change of the rows that start before the gap and of the others (of one set: the greater) and is no repeat; both parts are
+    cut in their turn."""
     frame = frame.sort_values("seq_no")
     number, n = {}, 0
     todo = [frame]
@@ -200,7 +206,8 @@ def split_apart(frame: pd.DataFrame) -> pd.Series:
         gap = last["pos"] - end
         left, right = part[part["pos"] <= end], part[part["pos"] > end]
         at = end - (frame.iloc[0]["pos"] + len(frame.iloc[0]["ref"]))
-        if len(right) and gap > 2 * min(changes(left), changes(right)) and not repeated(first["seq"][max(at, 0) :], min(gap, MAX_REPEAT)):
+        change = max(map(largest_change, (left, right))) if one_set else min(map(changes, (left, right)))
+        if len(right) and gap > 2 * change and not repeated(first["seq"][max(at, 0) :], min(gap, MAX_REPEAT)):
             todo += [right, left]
             continue
         number |= dict.fromkeys(part.index, n)
@@ -208,14 +215,14 @@ def split_apart(frame: pd.DataFrame) -> pd.Series:
     return pd.Series(number)
 
 
-def split_clusters(clustered: DataFrame, genome: DataFrame) -> DataFrame:
+def split_clusters(clustered: DataFrame, genome: DataFrame, one_set: bool = False) -> DataFrame:
     """Rows of clusters (cluster_id) with cluster_part: the parts that divisive clustering cuts each cluster into."""
     order = Window.partitionBy("cluster_id").orderBy(*total_order(clustered))
     rows = clustered.withColumn("seq_no", F.row_number().over(order))
     spans = clustered.groupBy("cluster_id", "chrom").agg(F.min_by(F.col("pos") + F.length("ref"), "pos").alias("start"), (F.max("pos") + 1).alias("end"))
     told = genome_windows(genome, spans).select("cluster_id", "seq")
     slim = rows.select("cluster_id", "seq_no", "pos", "ref", "side", "mil", "mdl").join(told, "cluster_id")
-    fold = lambda frame: frame.assign(cluster_part=split_apart(frame))[["cluster_id", "seq_no", "cluster_part"]]
+    fold = lambda frame: frame.assign(cluster_part=split_apart(frame, one_set))[["cluster_id", "seq_no", "cluster_part"]]
     parts = slim.groupBy("cluster_id").applyInPandas(fold, "cluster_id string, seq_no int, cluster_part int")
     return rows.join(parts, ["cluster_id", "seq_no"]).drop("seq_no")
 

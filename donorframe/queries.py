@@ -14,10 +14,11 @@ from .functions import scalar
 from .model import scorings
 from .operators import clustering, exact, intervals, metrics
 from .operators.consuming import consuming_matches
+from .operators.duplicates import duplicates_by_side
 from .operators.matcher import match_clusters
 from .operators.normalize import normalize_variants
 from .operators.running import running
-from .sources.readers import CHUNK, derived, first_of_each
+from .sources.readers import CHUNK, derived, first_of_each, short_windows
 
 REACH = 30
 
@@ -296,7 +297,27 @@ def left_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(normalize_variants(variants(spark, sf_dir, VARIED), genome(spark, sf_dir)), "side")
 
 
-QUERIES |= {"match_consuming": match_consuming, "left_normalized": left_normalized}
+def with_joint_rows(v: DataFrame, g: DataFrame) -> DataFrame:
+    """The rows of one alt, and for every second of them and the one after it (of a side, within 60 bases) a row that says
+    what both say; its row_id is below 0."""
+    rows = first_of_each(v)
+    order = Window.partitionBy("side", "chrom", F.floor(F.col("pos") / (1 << 16))).orderBy("pos", "row_id", "ref", "alts")
+    pairs = rows.withColumns({"nth": F.row_number().over(order), "after": F.lead(F.struct("pos", "ref", "alts")).over(order), "start": F.col("pos")}).where("nth % 2 = 1 AND after.pos BETWEEN pos + length(ref) AND pos + length(ref) + 60")
+    wide = short_windows(g, pairs.withColumn("end", F.expr("after.pos + length(after.ref)")), 200)
+    between = F.expr("substring(seq, length(ref) + 1, after.pos - pos - length(ref))")
+    joint = wide.withColumns({"alts": F.array(F.concat(F.get("alts", F.lit(0)), between, F.get("after.alts", F.lit(0)))), "row_id": -F.col("row_id") - 1}).withColumn("ref", F.col("seq"))
+    return rows.unionByName(derived(joint.select(rows.columns)))
+
+
+def set_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subsets of one side that say the same, of both sides, with joint rows."""
+    g = genome(spark, sf_dir)
+    found = duplicates_by_side(with_joint_rows(variants(spark, sf_dir, VARIED), g), g)
+    listed = lambda c: F.array_join(F.transform(f"{c}.row_id", lambda x: x.cast("string")), "/").alias(c)
+    return found.select("side", "cluster_id", "chrom", "round", "status", listed("set1"), listed("set2"), "pos", "ref", "alt")
+
+
+QUERIES |= {"match_consuming": match_consuming, "set_duplicates": set_duplicates, "left_normalized": left_normalized}
 for s in scorings():
     QUERIES[f"match_search_{s.unit}_{s.mode}_{s.scheme}"] = matching(s.unit, s.mode, s.scheme)
 

@@ -54,6 +54,13 @@ def write_direct(matched: DataFrame, path: str) -> None:
     matched.select(F.concat(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "ref", F.array_join("alts", "/")), F.lit("\t")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_duplicates(found: DataFrame, path: str) -> None:
+    """Duplicates within a set: chromosome, position from 1, ref, alt and both sets of rows."""
+    listed = lambda c: F.array_join(F.transform(c, lambda v: F.concat_ws(",", (v["pos"] + 1).cast("string"), v["ref"], v["alt"])), ";")
+    rows = found.where("status = 'match'").orderBy("chrom", "pos", "round")
+    write_lines(rows.select(F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), "ref", "alt", listed("set1"), listed("set2")).alias("line")), path)
+
+
 def write_lines(rows: DataFrame, path: str, column: str = "line") -> None:
     rows.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
