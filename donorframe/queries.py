@@ -18,7 +18,7 @@ from .operators.duplicates import duplicates_by_side
 from .operators.matcher import match_clusters
 from .operators.normalize import normalize_variants
 from .operators.running import running
-from .sources.readers import CHUNK, derived, first_of_each, short_windows
+from .sources.readers import CHUNK, derived, first_of_each, genome_windows, haploid_alleles, keep_usable, short_windows
 
 REACH = 30
 
@@ -205,11 +205,9 @@ SNV = f"""s AS (SELECT * FROM v WHERE mil = 0 AND mdl = 0),
 g AS (SELECT *, pos - max(pos + length(ref)) OVER (PARTITION BY chrom ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM s),
 k AS (SELECT *, CAST(sum(CASE WHEN gap >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_no FROM g)"""
 query(f", {SNV} SELECT {ROW}, side, cluster_no FROM k", "snv_clusters")(lambda spark, sf_dir: shown(clustering.cluster_unchanging(snv(spark, sf_dir)), "side", "cluster_no"))
-query(f", {SNV} SELECT cluster_size, count(*) AS n_clusters FROM (SELECT count(*) AS cluster_size FROM k GROUP BY chrom, cluster_no) GROUP BY 1", "cluster_size_histogram")(
-    lambda spark, sf_dir: clustering.cluster_unchanging(snv(spark, sf_dir)).groupBy("chrom", "cluster_no").agg(F.count("*").alias("cluster_size")).groupBy("cluster_size").agg(F.count("*").alias("n_clusters"))
-)
+query(f", {SNV} SELECT cluster_size, count(*) AS n_clusters FROM (SELECT count(*) AS cluster_size FROM k GROUP BY chrom, cluster_no) GROUP BY 1", "cluster_size_histogram")(lambda spark, sf_dir: clustering.size_histogram(snv_named(spark, sf_dir)))
 query(f", {SNV} SELECT chrom, cluster_no, count(*) AS n, count(*) FILTER (side = 'query') AS n_query FROM k GROUP BY 1, 2 HAVING count(DISTINCT side) = 2", "two_sided_clusters")(
-    lambda spark, sf_dir: clustering.cluster_unchanging(snv(spark, sf_dir)).groupBy("chrom", "cluster_no").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "query").alias("n_query")).where("n_query > 0 AND n_query < n")
+    lambda spark, sf_dir: clustering.two_sided(snv_named(spark, sf_dir)).groupBy("chrom", "cluster_no").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "query").alias("n_query"))
 )
 
 
@@ -341,16 +339,24 @@ def edit_distance_by_choice(spark, sf_dir):
 
 
 MODES = "modes AS (SELECT CAST(u AS INT) AS unit, CAST(m AS INT) AS mode, CAST(s AS INT) AS scheme FROM range(2) a(u), range(2) b(m), range(3) c(s))"
-query(f", {MODES} SELECT *, unit * 8 + mode * 4 + scheme AS mode_index, unit * 8 + mode * 4 + scheme >> 3 & 1 AS unit_back, (unit * 8 + mode * 4 + scheme) >> 2 & 1 AS mode_back, (unit * 8 + mode * 4 + scheme) & 3 AS scheme_back FROM modes", "mode_codec")(lambda spark, sf_dir: codec(spark))
-query(f", {MODES} SELECT *, CASE unit WHEN 0 THEN 'U' ELSE 'E' END || CASE mode WHEN 0 THEN 'G' ELSE 'V' END || CASE scheme WHEN 0 THEN 'T' WHEN 1 THEN 'B' ELSE 'Q' END AS label FROM modes", "mode_label")(lambda spark, sf_dir: metrics.modes(spark, scorings()).drop("mode_index"))
+#: A mode for every line.
+LINE_MODES = ["l_orderkey", "l_linenumber", "cast(l_linenumber % 2 as int) AS unit", "cast(l_partkey % 2 as int) AS mode", "cast(l_suppkey % 3 as int) AS scheme"]
+LINES = "m AS (SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 2 AS INT) AS unit, CAST(l_partkey % 2 AS INT) AS mode, CAST(l_suppkey % 3 AS INT) AS scheme FROM lineitem)"
 
 
-def codec(spark: SparkSession) -> DataFrame:
-    m = metrics.modes(spark, scorings()).select("unit", "mode", "scheme", scalar.mode_index(F.col("unit"), F.col("mode"), F.col("scheme")).alias("mode_index"))
+@query(f", {LINES} SELECT *, unit * 8 + mode * 4 + scheme AS mode_index, unit AS unit_back, mode AS mode_back, scheme AS scheme_back FROM m")
+def mode_codec(spark, sf_dir):
+    m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*LINE_MODES).withColumn("mode_index", scalar.mode_index(F.col("unit"), F.col("mode"), F.col("scheme")))
     unit, mode, scheme = scalar.mode_parts(F.col("mode_index"))
     return m.select("*", unit.alias("unit_back"), mode.alias("mode_back"), scheme.alias("scheme_back"))
 
 
+@query(f", {LINES} SELECT *, CASE unit WHEN 0 THEN 'U' ELSE 'E' END || CASE mode WHEN 0 THEN 'G' ELSE 'V' END || CASE scheme WHEN 0 THEN 'T' WHEN 1 THEN 'B' ELSE 'Q' END AS label FROM m")
+def mode_label(spark, sf_dir):
+    m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*LINE_MODES)
+    return m.withColumn("label", scalar.mode_label(F.col("unit"), F.col("mode"), F.col("scheme")))
+
+
 @query(f", {MODES} SELECT m.unit, m.mode, m.scheme, side, count(*) AS n FROM modes m, v GROUP BY ALL")
 def mode_grid(spark, sf_dir):
     m = F.broadcast(metrics.modes(spark, scorings()).select("unit", "mode", "scheme"))  # 12 rows
@@ -365,7 +371,9 @@ def snp_type_counts(spark, sf_dir):
 
 
 query("SELECT side, count(*) AS n_rows, count(*) FILTER (length(alts[1]) <> length(ref)) AS n_indels FROM v GROUP BY 1", "indel_counts")(lambda spark, sf_dir: metrics.indel_counts(variants(spark, sf_dir)))
-query("SELECT CAST(trunc(qual) AS INT) AS qual, count(*) AS n FROM v GROUP BY 1", "matches_by_quality")(lambda spark, sf_dir: metrics.matches_by_quality(variants(spark, sf_dir)))
+query(f"SELECT CAST(trunc(q.qual) AS INT) AS qual, count(*) AS n FROM q WHERE EXISTS (SELECT 1 FROM b WHERE {SAME}) GROUP BY 1", "matches_by_quality")(
+    lambda spark, sf_dir: metrics.matches_by_quality(exact.matched(*reversed(both_sides(spark, sf_dir))))
+)
 
 
 @query("SELECT row_id, qual, g AS gt, array_to_string(list_sort(string_split(replace(g, '/', '|'), '|')), '|') AS normal FROM (SELECT row_id, qual, CASE WHEN row_id % 3 = 0 THEN reverse(gt) ELSE gt END AS g FROM v)")
@@ -374,10 +382,82 @@ def gt_normalized(spark, sf_dir):
     return v.withColumn("normal", scalar.genotype_normalized(F.col("gt")))
 
 
-@query("SELECT row_id, qual, substr(s, 1, p) || alts[1] || substr(s, p + length(ref) + 1) AS donor FROM (SELECT *, repeat('ACGT', 4) AS s, CAST(4 + pos % 4 AS INT) AS p FROM v)")
-def apply_variant(spark, sf_dir):
-    seq, at = F.repeat(F.lit("ACGT"), F.lit(4)), (4 + F.col("pos") % 4).cast("int")
-    return variants(spark, sf_dir).select("row_id", "qual", scalar.apply_variant(seq, at, F.length("ref"), F.get("alts", F.lit(0))).alias("donor"))
+AROUND = 8
+
+
+def apply_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first alt of every row applied to the genome around it."""
+    asked = variants(spark, sf_dir, VARIED).withColumns({"start": F.greatest(F.col("pos") - AROUND, F.lit(0)), "end": F.col("pos") + F.length("ref") + AROUND})
+    at = F.col("pos") - F.col("start")
+    return genome_windows(genome(spark, sf_dir), asked).select("row_id", "qual", "seq", scalar.apply_variant(F.col("seq"), at, F.length("ref"), F.get("alts", F.lit(0))).alias("donor"))
+
+
+QUERIES["apply_variant"], SQL["apply_variant"] = apply_variant, f"""WITH {view_sql(VARIED_SQL)}, w AS (SELECT *, greatest(pos - {AROUND}, 0) AS s0, pos + length(ref) + {AROUND} - greatest(pos - {AROUND}, 0) AS gap FROM v),
+x AS (SELECT *, {BETWEEN} AS seq FROM w) SELECT row_id, qual, seq, substr(seq, 1, pos - s0) || alts[1] || substr(seq, pos - s0 + length(ref) + 1) AS donor FROM x"""
+
+
+@query("SELECT row_id, qual, side FROM (SELECT *, CASE WHEN quantity % 10 = 0 THEN '0/0' ELSE gt END AS g FROM (SELECT v.*, raw.quantity FROM v JOIN raw USING (row_id, side, chrom, pos, qual))) WHERE g <> '0/0' AND quantity * 3 <= 100 AND CAST(chrom AS INT) <= 11")
+def usable_rows(spark, sf_dir):
+    """Rows without 0/0 calls, long insertions (three bases for each of the quantity) and unknown chromosomes."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber AS row_id", "IF(l_linenumber % 2 = 1, 'baseline', 'query') AS side", "cast(1 + l_suppkey % 22 AS string) AS chrom", "cast(l_quantity AS int) AS quantity", "l_extendedprice AS qual", "'A' AS ref")
+    rows = derived(line.withColumns({"alts": F.array(F.concat("ref", F.repeat(F.lit("C"), F.col("quantity") * 3))), "hom_ref": F.col("quantity") % 10 == 0}))
+    known = genome(spark, sf_dir).where(F.col("chrom").cast("int") <= 11)
+    return keep_usable(rows, known).select("row_id", "qual", "side")
+
+
+@query("""SELECT row_id, qual, side, allele, alt, CASE WHEN length(alt) > length(ref) THEN 'I' WHEN length(alt) < length(ref) THEN 'D' ELSE 'S' END AS snp_type
+  FROM (SELECT *, CAST(unnest(range(len(alts))) AS INT) AS allele, unnest(alts) AS alt FROM v) WHERE list_contains(string_split(gt, '/'), CAST(allele + 1 AS VARCHAR))""")
+def called_alleles(spark, sf_dir):
+    return haploid_alleles(variants(spark, sf_dir), F.col("gt")).select("row_id", "qual", "side", "allele", "alt", "snp_type")
+
+
+@query("""SELECT row_id, qual, c.choice, CASE c.choice WHEN 0 THEN CASE WHEN NOT het THEN '1|1' WHEN multi AND NOT zero_one THEN '1|2' ELSE '1|0' END
+  WHEN 1 THEN CASE WHEN multi AND NOT zero_one THEN '2|1' WHEN multi THEN '2|0' ELSE '0|1' END WHEN -1 THEN '0|1' WHEN -2 THEN '0|2' END AS phase FROM v, (VALUES (-2), (-1), (0), (1)) c(choice)""")
+def phases(spark, sf_dir):
+    v = variants(spark, sf_dir).withColumn("choice", F.explode(F.array(*[F.lit(x) for x in (-2, -1, 0, 1)])))
+    return v.select("row_id", "qual", "choice", scalar.phase(F.col("choice"), F.col("het"), F.col("multi"), F.col("zero_one")).alias("phase"))
+
+
+TRIM = """t AS (SELECT p_partkey, p_brand || '-' || p_type AS ref, p_brand || p_name || p_type AS alt FROM part),
+t1 AS (SELECT *, list_max(list_filter(range(0, least(length(ref), length(alt))), lambda k: right(ref, k) = right(alt, k))) AS tail FROM t),
+t2 AS (SELECT p_partkey, left(ref, length(ref) - tail) AS ref, left(alt, length(alt) - tail) AS alt FROM t1),
+t3 AS (SELECT *, CAST(list_max(list_filter(range(0, least(length(ref), length(alt))), lambda k: left(ref, k) = left(alt, k))) AS INT) AS chopped FROM t2)"""
+
+
+@query(f", {TRIM} SELECT p_partkey, chopped, substr(ref, chopped + 1) AS ref, substr(alt, chopped + 1) AS alt FROM t3")
+def trimmed_alleles(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    told = scalar.trim_alleles(F.concat("p_brand", F.lit("-"), "p_type"), F.concat("p_brand", "p_name", "p_type"))
+    return p.select("p_partkey", told.alias("t")).select("p_partkey", "t.*")
+
+
+@query("""SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS words, CAST(p_partkey % 1000 AS INT) AS n, upper(p_name) = upper(lower(p_name)) AS same,
+  starts_with(upper(p_type), upper(left(p_type, CAST(1 + p_size % 9 AS INT)))) OR starts_with(upper(left(p_type, CAST(1 + p_size % 9 AS INT))), upper(p_type)) AS prefix FROM part""")
+def text_functions(spark, sf_dir):
+    p, cut = spark.read.parquet(f"{sf_dir}/part.parquet"), F.expr("lower(left(p_type, 1 + p_size % 9))")
+    number = scalar.leading_int(F.concat((F.col("p_partkey") % 1000).cast("string"), F.lit("x"), "p_name"))
+    return p.select("p_partkey", scalar.split_nonempty(F.col("p_name"), " ").alias("words"), number.alias("n"), scalar.same_letters(F.col("p_name"), F.lower("p_name")).alias("same"), scalar.prefix_match(F.col("p_type"), cut).alias("prefix"))
+
+
+PER_POSITION = """lb AS (SELECT DISTINCT ON (chrom, pos) * FROM b ORDER BY chrom, pos, row_id DESC, qual DESC), lq AS (SELECT DISTINCT ON (chrom, pos) * FROM q ORDER BY chrom, pos, row_id DESC, qual DESC)"""
+
+
+@query(f", {PER_POSITION} SELECT b.chrom, b.pos, b.row_id AS b_row, q.row_id AS q_row FROM lb b JOIN lq q ON {SAME}")
+def match_per_position(spark, sf_dir):
+    # row ids are not unique in this view: quality decides between rows of one id
+    first = lambda df: df.orderBy("qual").groupBy("chrom", "pos", "row_id").agg(F.max_by(F.struct("ref", "alts", "het", "multi", "zero_one"), "qual").alias("r")).select("chrom", "pos", "row_id", "r.*")
+    return exact.one_per_position(*map(first, both_sides(spark, sf_dir)))
+
+
+def snv_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_unchanging(snv(spark, sf_dir)).withColumn("cluster_id", F.concat_ws(":", "chrom", F.col("cluster_no").cast("string")))
+
+
+@query(f""", {SNV}, kb AS (SELECT * FROM k WHERE side = 'baseline'), kq AS (SELECT * FROM k WHERE side = 'query')
+SELECT b.row_id AS b_row, b.chrom, b.pos, b.ref, array_to_string(b.alts, '/') AS b_alt, min(q.row_id) AS q_row FROM kb b JOIN kq q ON b.cluster_no = q.cluster_no AND {SAME} GROUP BY 1, 2, 3, 4, 5""")
+def match_inside_clusters(spark, sf_dir):
+    rows = snv_named(spark, sf_dir)
+    return exact.first_match(rows.where("side = 'baseline'"), rows.where("side = 'query'")).withColumn("b_alt", F.array_join("b_alts", "/")).drop("b_alts")
 
 
 CUTS = """sorted AS (SELECT qual, row_number() OVER (ORDER BY qual) AS rn FROM q WHERE qual IS NOT NULL),
@@ -416,6 +496,7 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 query(f", {CUTS}, {TOTALS}, {BOTH} SELECT * FROM counts", "match_counts_by_threshold")(match_counts)
 RATES = "CASE WHEN baseline_total = 0 THEN 0.0 ELSE baseline_match * 100.0::DOUBLE / baseline_total END AS recall, CASE WHEN query_total = 0 THEN 0.0 ELSE query_match * 100.0::DOUBLE / query_total END AS precision"
 query(f", {CUTS}, {TOTALS}, {BOTH} SELECT *, {RATES} FROM counts", "recall_precision")(lambda spark, sf_dir: metrics.recall_precision(match_counts(spark, sf_dir)))
+query(f", {CUTS}, {TOTALS}, {BOTH} SELECT *, baseline_total - baseline_match AS baseline_mismatch, query_total - query_match AS query_mismatch FROM counts", "mismatches")(lambda spark, sf_dir: metrics.mismatches(match_counts(spark, sf_dir)))
 query(f", {CUTS}, {TOTALS}, {BOTH}, r AS (SELECT *, {RATES} FROM counts) SELECT t, recall, precision, CAST(row_number() OVER (ORDER BY recall, precision, t) AS INT) AS point FROM r", "pr_curve")(
     lambda spark, sf_dir: metrics.pr_curve(match_counts(spark, sf_dir).withColumns({"unit": F.lit(0), "mode": F.lit(0), "scheme": F.lit(0)})).select("t", "recall", "precision", "point")
 )
