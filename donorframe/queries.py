@@ -18,6 +18,7 @@ from .operators.duplicates import duplicates_by_side
 from .operators.matcher import match_clusters
 from .operators.normalize import normalize_variants
 from .operators.running import running
+from .operators.strands import match_strands
 from .sources.readers import CHUNK, derived, first_of_each, genome_windows, haploid_alleles, keep_usable, short_windows
 
 REACH = 30
@@ -295,6 +296,15 @@ def left_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(normalize_variants(variants(spark, sf_dir, VARIED), genome(spark, sf_dir)), "side")
 
 
+def match_two_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best two-strand matches, scored by rows and by reference bases."""
+    g = genome(spark, sf_dir)
+    clustered = clustering.cluster(variants(spark, sf_dir, VARIED), g)
+    by_bases = match_strands(clustered, g, bases=True).select("cluster_id", F.col("score").alias("bases"))
+    told = match_strands(clustered, g).join(by_bases, "cluster_id")
+    return told.select("cluster_id", "chrom", "status", "score", "bases", "baseline_match", "query_match", "pos", "donor0", "donor1")
+
+
 def with_joint_rows(v: DataFrame, g: DataFrame) -> DataFrame:
     """The rows of one alt, and for every second of them and the one after it (of a side, within 60 bases) a row that says
     what both say; its row_id is below 0."""
@@ -315,7 +325,7 @@ def set_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("side", "cluster_id", "chrom", "round", "status", listed("set1"), listed("set2"), "pos", "ref", "alt")
 
 
-QUERIES |= {"match_consuming": match_consuming, "set_duplicates": set_duplicates, "left_normalized": left_normalized}
+QUERIES |= {"match_consuming": match_consuming, "match_two_strands": match_two_strands, "set_duplicates": set_duplicates, "left_normalized": left_normalized}
 for s in scorings():
     QUERIES[f"match_search_{s.unit}_{s.mode}_{s.scheme}"] = matching(s.unit, s.mode, s.scheme)
 
