@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +40,7 @@ def compare(spark: SparkSession, baseline: str, genome: str, queries: list[str],
     if fast:
         unit = mode = scheme = 0
     chosen = scorings(unit, mode, scheme)
-    folder = Path(output)
-    folder.mkdir(parents=True, exist_ok=True)
+    folder = str(output).rstrip("/")
     bases = read_fasta(spark, genome).persist()
     base = read_vcf(spark, baseline, BASELINE, 0, bases, use_genotype).persist()
     all_counts, held = None, [bases, base]
@@ -52,14 +50,14 @@ def compare(spark: SparkSession, baseline: str, genome: str, queries: list[str],
         results = match(base.withColumn("query_id", F.lit(n)), rows, bases, cuts, chosen).persist()
         counted = counts_of(results, cuts, base, rows, chosen).withColumn("query_id", F.lit(n))
         counts = spark.createDataFrame(counted.collect(), counted.schema)  # a row per mode and cut-off
-        writers.write_stat(counts, base.count(), rows.count(), str(folder / f"query{n}.stat"))
-        writers.write_match(results, str(folder / f"query{n}.match"))
+        writers.write_stat(counts, base.count(), rows.count(), f"{folder}/query{n}.stat")
+        writers.write_match(results, f"{folder}/query{n}.match")
         for table in (rows, cuts, results):
             table.unpersist()
         all_counts = counts if all_counts is None else all_counts.unionByName(counts)
     for table in held:
         table.unpersist()
-    writers.write_report(all_counts, str(folder / "stat.html"), graphs)
+    writers.write_report(all_counts, f"{folder}/stat.html", graphs)
     return all_counts
 
 
@@ -96,15 +94,14 @@ def diff(spark: SparkSession, files: list[str], output: str | None = None) -> Da
         rows = one if rows is None else rows.unionByName(one)
     found = match_diff(rows, len(files))
     if output:
-        folder = Path(output)
-        folder.mkdir(parents=True, exist_ok=True)
-        writers.write_lines(found.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "donors").alias("line")), str(folder / "diff"))
+        folder = str(output).rstrip("/")
+        writers.write_lines(found.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "donors").alias("line")), f"{folder}/diff")
         total = found.count()
         some = found.orderBy("chrom", "pos").limit(PAGE).collect()  # a page to look at; the file has all rows
         told = rows.join(F.broadcast(spark.createDataFrame(some, found.schema).select("chrom", "pos")), ["chrom", "pos"]).orderBy("chrom", "pos", "file_id").collect() if some else []
         note = f"<p>{len(some)} of {total} positions</p>"
         blocks = [writers.match_block(f"{files[r.file_id]}, {r.chrom}:{r.pos}", r) for r in told]
-        (folder / "compare.html").write_text("\n".join([note, writers.table_html(["chrom", "pos", "donors"], [[r.chrom, r.pos, r.donors] for r in some]), *blocks]))
+        writers.write_text(spark, f"{folder}/compare.html", "\n".join([note, writers.table_html(["chrom", "pos", "donors"], [[r.chrom, r.pos, r.donors] for r in some]), *blocks]))
     return found
 
 
@@ -136,7 +133,7 @@ def main(args: list[str] | None = None) -> None:
     spark = session()
     if a.command == "compare" and a.score_scheme == 3:
         for q in a.query:
-            print(direct_match(spark, a.baseline, q, a.match_mode, f"{a.output}/{Path(q).name}.direct").count())
+            print(direct_match(spark, a.baseline, q, a.match_mode, f"{a.output}/{q.rstrip('/').rsplit('/', 1)[-1]}.direct").count())
     elif a.command == "compare":
         compare(spark, a.baseline, a.genome, a.query, a.output, a.score_unit, a.match_mode, a.score_scheme, not a.disable_curves, fast=a.fast, graphs=not a.no_graph)
     elif a.command == "regions":

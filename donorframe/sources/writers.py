@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import html
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import mode_label, phase
@@ -20,11 +19,21 @@ def stat_lines(counts: DataFrame) -> DataFrame:
     return by.select("unit", "mode", "scheme", F.concat_ws("\t", F.col("unit").cast("string"), F.col("mode").cast("string"), F.col("scheme").cast("string"), *lists).alias("line"))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever file system the path names (by Spark's own configuration)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def write_stat(counts: DataFrame, baseline_total: int, query_total: int, path: str) -> None:
     """A .stat file (at most 12 lines)."""
     head = "#score_unit\tmatch_mode\tscore_scheme\tqual_threshold\tbaseline_match_num\tquery_match_num\tquery_total_num"
     rows = [r.line for r in stat_lines(counts).orderBy("unit", "mode", "scheme").collect()]
-    Path(path).write_text("\n".join([f"##Baseline:{baseline_total}", f"##Query:{query_total}", head, *rows]) + "\n")
+    write_text(counts.sparkSession, path, "\n".join([f"##Baseline:{baseline_total}", f"##Query:{query_total}", head, *rows]) + "\n")
 
 
 def match_rows(results: DataFrame) -> DataFrame:
@@ -114,7 +123,7 @@ def write_report(counts: DataFrame, path: str, graphs: bool = True) -> None:
         if graphs:
             parts.append(plot_svg(f"{label}: precision over recall", {q: [(r.recall, r.precision) for r in x] for q, x in of(some).items()}))
         parts.append(table_html(head, [line(r) for r in some]))
-    Path(path).write_text("\n".join([*parts, "</body></html>"]))
+    write_text(counts.sparkSession, path, "\n".join([*parts, "</body></html>"]))
 
 
 def spaced(text: str) -> str:
