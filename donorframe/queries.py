@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
+from .functions.combinations import k_subsets, k_subsets_with_sum
 from .model import scorings
 from .operators import clustering, exact, intervals, metrics
 from .operators.consuming import consuming_matches
@@ -470,6 +471,26 @@ def match_inside_clusters(spark, sf_dir):
     return exact.first_match(rows.where("side = 'baseline'"), rows.where("side = 'query'")).withColumn("b_alt", F.array_join("b_alts", "/")).drop("b_alts")
 
 
+def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows between gaps of at least 2, gathered in order."""
+    rows = clustering.cluster_unchanging(variants(spark, sf_dir))
+    one = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*scalar.comparison_order(), F.col("qual")])], "row_id", (F.length(F.get("alts", F.lit(0))) - F.length("ref")).alias("change"))
+    return rows.groupBy("chrom", "cluster_no").agg(F.array_sort(F.collect_list(one)).alias("listed"))
+
+
+GROUPED = f"""{GAPS}, k AS (SELECT *, CAST(sum(CASE WHEN gap >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_no FROM gaps),
+n AS (SELECT *, row_number() OVER (PARTITION BY chrom, cluster_no ORDER BY {ORDER}) - 1 AS i, count(*) OVER (PARTITION BY chrom, cluster_no) AS n, length(alts[1]) - length(ref) AS change FROM k),
+two AS (SELECT a.chrom, a.cluster_no, a.i * (2 * a.n - a.i - 1) // 2 + b.i - a.i - 1 AS rank, a.row_id || '/' || b.row_id AS rows, a.change + b.change AS change FROM n a JOIN n b ON a.chrom = b.chrom AND a.cluster_no = b.cluster_no AND a.i < b.i)"""
+
+
+def two_rows(found: DataFrame) -> DataFrame:
+    return found.select("chrom", "cluster_no", "rank", F.array_join(F.transform("listed.row_id", lambda x: x.cast("string")), "/").alias("rows"))
+
+
+query(f", {GROUPED} SELECT chrom, cluster_no, rank, rows FROM two", "subsets_of_two")(lambda spark, sf_dir: two_rows(k_subsets(gap_groups(spark, sf_dir), "listed", 2)))
+query(f", {GROUPED} SELECT chrom, cluster_no, rank, rows FROM two WHERE change = 1", "subsets_of_two_with_sum")(lambda spark, sf_dir: two_rows(k_subsets_with_sum(gap_groups(spark, sf_dir), "listed", 2, "change", 1)))
+
+
 CUTS = """sorted AS (SELECT qual, row_number() OVER (ORDER BY qual) AS rn FROM q WHERE qual IS NOT NULL),
 n AS (SELECT count(*) AS total, count(*) FILTER (qual < 0.1) AS low FROM sorted),
 p(t, p) AS (VALUES (0, 0.0::DOUBLE), (1, 0.1::DOUBLE), (2, 0.2::DOUBLE), (3, 0.3::DOUBLE), (4, 0.9::DOUBLE)),
