@@ -118,7 +118,7 @@ class Program:
         self.add(start(hist, capacity))
         self.basis = np.arange(len(self.lengths))
         self.add([p for p, _ in first_fit(hist, capacity)])
-        self.bound = float(self.need @ self.lengths) * (1 + SEQUENCE / capacity)
+        self.bound = float((self.need * self.lengths).sum()) * (1 + SEQUENCE / capacity)
 
     def add(self, found: list[Pattern]) -> int:
         """Take up patterns that are new."""
@@ -140,6 +140,26 @@ class Program:
         np.add.at(out, self.rows[j], self.times[j])
         return out
 
+    def through(self, inverse: np.ndarray, j: int) -> np.ndarray:
+        """The inverse times a pattern's column, which has few entries."""
+        return (inverse[:, self.rows[j]] * self.times[j]).sum(axis=1)
+
+    def invert(self) -> np.ndarray:
+        """The inverse of the basis, column by column (few rows change each time). Library routines are avoided, as their
+        threads may stand still in a process that has forked, such as a driver; the basis is put in the order of its rows."""
+        m = len(self.lengths)
+        inverse, placed, free = np.eye(m), np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
+        for j in self.basis:
+            step = self.through(inverse, j)
+            r = int(np.where(free, np.abs(step), -1).argmax())
+            pivot_row = inverse[r] / step[r]
+            step[r] = 0
+            moved = np.flatnonzero(step)
+            inverse[moved] -= step[moved, None] * pivot_row
+            inverse[r], placed[r], free[r] = pivot_row, j, False
+        self.basis = placed
+        return inverse
+
     def price(self, duals: np.ndarray) -> list[Pattern]:
         """Patterns whose lengths are worth more than they cost: the best of every sum by dynamic programming, then the best
         sequence through each length."""
@@ -179,9 +199,9 @@ class Program:
         costs = np.array(self.costs)
         for pivot in range(PIVOTS):
             if pivot % 250 == 0:
-                inverse = np.linalg.inv(np.stack([self.column(j) for j in self.basis], axis=1))
-                x, duals = inverse @ need, costs[self.basis] @ inverse
-            if x @ costs[self.basis] <= self.bound * (1 + GAP):
+                inverse = self.invert()
+                x, duals = (inverse * need).sum(axis=1), (costs[self.basis][:, None] * inverse).sum(axis=0)
+            if (x * costs[self.basis]).sum() <= self.bound * (1 + GAP):
                 break
             reduced = costs - (duals[self.rows] * self.times).sum(axis=1)
             j = int(reduced.argmin())
@@ -190,7 +210,7 @@ class Program:
                     break
                 costs = np.array(self.costs)
                 continue
-            step = inverse @ self.column(j)
+            step = self.through(inverse, j)
             ratios = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
             r = int(ratios.argmin())
             if not np.isfinite(ratios[r]):
@@ -200,7 +220,7 @@ class Program:
             x[r] = ratios[r]
             step[r] = 0
             moved = np.flatnonzero(step)
-            inverse[moved] -= np.outer(step[moved], pivot_row)
+            inverse[moved] -= step[moved, None] * pivot_row
             inverse[r] = pivot_row
             duals = duals + reduced[j] * pivot_row
             self.basis[r] = j
