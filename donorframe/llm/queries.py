@@ -70,7 +70,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings")).drop("beam", "recall")
 
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,14 @@
 Equal vectors of one label are one class. Classes of a label are dealt to shards of at most about SHARD vectors; a task
 builds each shard's graph. Every class then queries every shard of its label that can hold a link of it: queries come in
 blocks of about QUERIES, each with a copy of the shard's index, so neither a large label nor a large shard count gathers
-in one task, and the copies stay a fraction of the queries. An audit scans the whole shard for every query and counts its
-links; the beam of a query with links widens until all of them are found, at the end to the whole shard. Found pairs are
-verified by cosine in double precision; only counts and forests of links leave a task.
+in one task, and the copies stay a fraction of the queries. A query searches a shard's graph with a beam, then follows the
+graph's links from all it met within FLOOD times the threshold's angle, so a query of many links needs no wide beam.
+
+The beam is that of the label's audit: classes with an id divisible by AUDIT are also compared with whole shards, and their
+links (not with themselves), summed over all shards of the label, say what share each beam of LADDER finds. A label uses
+the first beam that finds RECALL of its own audited links and of those of all labels together; one that no beam satisfies
+is scanned. Beam and audited recall are columns of the result. Found pairs are verified by cosine in double precision; only
+counts and forests of links leave a task.
 
 Shards are cut along cells: a vector belongs to the nearest of at most PIVOTS sampled vectors. With d the angle of the
 threshold, a vector within d of a query whose nearest pivot is at an angle of a lies in a cell whose pivot is at most
@@ -13,8 +18,9 @@ a + 2 d from the query (twice the triangle inequality), so the cells beyond are
 decide only how many shards a query visits, never what it finds.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
-link with nothing; vectors of different lengths are not compared; null ids get their component's least id; repeated rows
-are equal vectors; an empty table gives no rows; other columns are ignored.
+link with nothing; vectors of different lengths are not compared; null ids get their component's least id and are not
+audited by themselves; repeated rows are equal vectors; ties play no part, as every node at or above the cosine is a link;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +45,12 @@ QUERIES = 16_384
 PIVOTS = 256
 M = 12
 BUILD_BEAM = 48
-BEAM = 64
-WIDER = 4
+LADDER = (128, 512, 2048)
+#: Ids divisible by this are audited; the share of their links that a beam has to find.
+AUDIT = 20
+RECALL = 0.999
+#: Links are followed from nodes within this many times the threshold's angle of the query.
+FLOOD = 1.5
 #: What single precision may miss of the threshold.
 SLACK = 1e-4
 
@@ -62,6 +72,34 @@ class Graph:
             batch = self.order[done : done + max(1, min(256, done or 64))]
             self._insert(batch, self.order[:done])
             done += len(batch)
+        if n:
+            self._bridge()
+
+    def _bridge(self) -> None:
+        """Lead to every node from the entry on the lowest layer: an island that no link enters gets one from a near node."""
+        reached = np.zeros(len(self.v), dtype=bool)
+        self._spread(reached, self.entry)
+        while not reached.all():
+            lost = np.flatnonzero(~reached)[:256]
+            ids, _ = self.search(self.v[lost], BUILD_BEAM)
+            for node, near in zip(lost.tolist(), ids.tolist()):
+                if reached[node]:
+                    continue
+                mine = [w for w in near if w >= 0 and reached[w]] or [self.entry]
+                free = next((w for w in mine if (self.links[0][w] < 0).any()), None)
+                if free is None:
+                    free, self.links[0] = mine[0], np.pad(self.links[0], ((0, 0), (0, 4)), constant_values=-1)
+                self.links[0][free, np.argmax(self.links[0][free] < 0)] = node
+                self._spread(reached, node)
+
+    def _spread(self, reached: np.ndarray, start: int) -> None:
+        """Mark what links lead to from a node."""
+        reached[start] = True
+        edge = np.array([start])
+        while len(edge):
+            to = np.unique(self.links[0][edge])
+            edge = to[(to >= 0) & ~reached[to]]
+            reached[edge] = True
 
     def _insert(self, batch: np.ndarray, before: np.ndarray) -> None:
         q = self.v[batch]
@@ -175,15 +213,37 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The best `beam` nodes of each query; own: a node to start from besides (-1: none)."""
-        if beam >= len(self.v):
-            return self._best(np.broadcast_to(np.arange(len(self.v)), (len(q), len(self.v))), q @ self.v.T, len(self.v))
-        start = np.full((len(q), 1), self.entry)
+        entry = start = np.full((len(q), 1), self.entry)
         for lv in range(len(self.links) - 1, 0, -1):
             start = self._beam(q, start, lv, 4)[0]
-        if own is not None:
-            start = np.concatenate([start, own[:, None]], 1)
+        start = np.concatenate([start, entry, *([] if own is None else [own[:, None]])], 1)
         return self._beam(q, start, 0, beam)
 
+    def within(self, q: np.ndarray, low: float, beam: int, own: np.ndarray) -> list[np.ndarray]:
+        """The nodes at or above a similarity that each query meets: in its beam, and by links from all nodes met that are
+        within FLOOD times the angle."""
+        n, reach = len(self.v), float(np.cos(min(np.pi, FLOOD * np.arccos(low))))
+        ids, sims = self.search(q, beam, own)
+        met = sims >= reach
+        rows, at, near = np.nonzero(met)[0], ids[met].astype(np.int64), sims[met]
+        seen = np.zeros((len(q), n), dtype=bool)
+        seen[rows, at] = True
+        out = [(rows[near >= low], at[near >= low])]
+        while len(rows):
+            to = self.links[0][at].astype(np.int64)
+            code = (rows[:, None] * n + to)[to >= 0]
+            code = np.unique(code[~seen.reshape(-1)[code]])
+            rows, at = code // n, code % n
+            seen[rows, at] = True
+            near = np.empty(len(rows), dtype=np.float32)
+            for a in range(0, len(rows), 65_536):
+                near[a : a + 65_536] = np.einsum("kd,kd->k", self.v[at[a : a + 65_536]], q[rows[a : a + 65_536]])
+            out.append((rows[near >= low], at[near >= low]))
+            rows, at = rows[near >= reach], at[near >= reach]
+        rows, at = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(rows, kind="stable")
+        return np.split(at[order], np.searchsorted(rows[order], np.arange(1, len(q))))
+
     def save(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, entry=self.entry, v=self.v, **{f"links{i}": x for i, x in enumerate(self.links)})
@@ -198,36 +258,38 @@ class Graph:
         return self
 
 
-def count_links(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float) -> np.ndarray:
-    """The number of nodes at or above the cosine of each query, by a scan of the whole shard."""
-    single, out = q.astype(np.float32), np.zeros(len(q), dtype=int)
-    for a in range(0, len(q), 256):
-        for i, near in enumerate(single[a : a + 256] @ graph.v.T >= cosine - SLACK, a):
-            ids = np.flatnonzero(near)
-            out[i] = (exact[ids] @ q[i] >= cosine).sum()
-    return out
-
-
-def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """For each query the nodes at or above the cosine; the beam of a query widens until it has found as many as the scan
-    of the shard counts."""
+def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float, beam: int) -> list[np.ndarray]:
+    """For each query the nodes at or above the cosine that its search meets; a beam of 0 scans the whole shard."""
     low, single = cosine - SLACK, q.astype(np.float32)
-    n = len(exact)
-    truth = count_links(graph, exact, q, cosine)
-    found: list[np.ndarray] = [np.zeros(0, int)] * len(q)
-    beam, rows = BEAM, np.flatnonzero(truth)
-    while len(rows):
-        for a in range(0, len(rows), 256):
-            at = rows[a : a + 256]
-            ids, sims = graph.search(single[at], beam, own[at])
-            for i, row, sim in zip(at.tolist(), ids, sims):
-                near = row[(sim >= low) & (row >= 0)]
-                found[i] = near[exact[near] @ q[i] >= cosine]
-        rows = np.array([i for i in rows.tolist() if len(found[i]) < truth[i]], dtype=int) if beam < n else rows[:0]
-        beam = beam * WIDER if beam * WIDER * 4 < n else n
+    found: list[np.ndarray] = []
+    for a in range(0, len(q), 64):
+        part = single[a : a + 64]
+        met = graph.within(part, low, beam, own[a : a + 64]) if beam else [np.flatnonzero(x) for x in part @ graph.v.T >= low]
+        found += [near[exact[near] @ q[i] >= cosine] for i, near in enumerate(met, a)]
     return found
 
 
+def audit(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[int, list[int]]:
+    """Links of the queries with other nodes: all of them, and those that each beam of LADDER finds."""
+    count = lambda beam: sum(int((near != o).sum()) for near, o in zip(links_of(graph, exact, q, own, cosine, beam), own.tolist()))
+    return count(0), [count(beam) for beam in LADDER]
+
+
+def common_beam(audits: DataFrame, recall: float = RECALL) -> int:
+    """The first beam that finds enough of all audited links (0: none does; nothing audited: the first)."""
+    rungs = audits.groupBy("beam").agg(F.sum("truth").alias("truth"), F.sum("found").alias("found")).collect()  # one row per rung
+    return min((r.beam for r in rungs if r.found >= recall * r.truth), default=0 if rungs else LADDER[0])
+
+
+def beams(audits: DataFrame, least: int, recall: float = RECALL) -> DataFrame:
+    """The beam of each label and length, `least` or more (0: scan), and the recall audited with it (null: no links)."""
+    rungs = audits.groupBy("label", "dim", "beam").agg(F.sum("truth").alias("truth"), F.sum("found").alias("found"))
+    fine = F.lit(least > 0) & (F.col("beam") >= least) & (F.col("found") >= recall * F.col("truth"))
+    good = F.when(fine, F.struct("beam", (F.col("found") / F.when(F.col("truth") > 0, F.col("truth"))).alias("recall")))
+    one = rungs.groupBy("label", "dim").agg(F.min(good).alias("x"))
+    return one.select("label", "dim", F.coalesce("x.beam", F.lit(0)).alias("beam"), F.when(F.col("x").isNull(), 1.0).otherwise(F.col("x.recall")).alias("recall"))
+
+
 def unit_vectors(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Dimension of each vector (0: links with nothing), and by dimension the rows and their unit vectors."""
     if isinstance(column, pa.ChunkedArray):
@@ -250,9 +312,9 @@ def unit_vectors(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarr
 
 
 def pick_pivots(table: DataFrame, most: int, shard: int) -> dict[int, np.ndarray]:
-    """At most `most` unit vectors, by dimension; no more than there are whole shards, as smaller cells would save nothing."""
+    """At most `most` unit vectors, by dimension; no more than shards are needed, as smaller cells would save nothing."""
     n = table.count()
-    most = min(most, n // shard)
+    most = min(most, -(-n // shard))
     if not most:
         return {}
     some = table.where("label is not null and embedding is not null").where(F.expr(f"pmod(xxhash64(vec_id, label), {max(1, n // (4 * most))}) = 0"))
@@ -295,14 +357,15 @@ def prepared(table: DataFrame, pivots: dict[int, np.ndarray], cosine: float) ->
 
 
 def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, queries: int = QUERIES, pivots: int = PIVOTS) -> DataFrame:
-    """One row per vector (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    """One row per vector (vec_id, embedding, label): vec_id, n_links, component_id, kept; beam and recall: of its label's audit
+    (beam 0: scanned; recall null: no audited class has a link; both null: links with nothing)."""
     spark = table.sparkSession
     prepare(spark)
     work = Workspace(spark, "vectors")
     rows = work.keep(prepared(table, pick_pivots(table, pivots, shard), cosine), "rows")
     same = ["label", "dim", "h1", "h2"]
-    classes = work.keep(rows.where("dim > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("vec_id").alias("least_id"), F.count("*").alias("copies")), "classes")
-    vecs = work.keep(rows.select(F.col("key").alias("rep"), "unit", "cell", "cells").join(classes.select("rep", "label", "dim", "copies"), "rep"), "vecs")
+    classes = work.keep(rows.where("dim > 0").groupBy(*same).agg(F.min("key").alias("rep"), F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.expr(f"coalesce(bool_or(pmod(try_cast(vec_id as bigint), {AUDIT}) = 0), false)").alias("audited")), "classes")
+    vecs = work.keep(rows.select(F.col("key").alias("rep"), "unit", "cell", "cells").join(classes.select("rep", "label", "dim", "copies", "audited"), "rep"), "vecs")
     place = ["label", "dim", "cell"]
     # long vectors come in smaller shards and blocks, so that bytes and not rows are bounded
     some = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(128 * most) / F.col("dim")))).cast("int")
@@ -325,25 +388,42 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, q
     members = members.repartition(*place).sortWithinPartitions(*place)
     index = work.keep(members.mapInArrow(build, f"label {label_type}, dim int, cell int, shard int, blocks int, index binary"), "index")
 
-    routed = vecs.select("label", "dim", F.explode("cells").alias("cell"), "rep", "unit").join(sizes, place[:3])
-    asked = routed.select(*place[:3], F.expr("explode(sequence(0, shards - 1))").alias("shard"), F.expr("pmod(xxhash64(rep, 1), blocks)").cast("int").alias("block"), "rep", "unit", F.lit(None).cast("binary").alias("index"), F.lit(1).alias("kind"))
-    given = index.select(*place, F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("unit"), "index", F.lit(0).alias("kind"))
+    routed = vecs.select("label", "dim", F.explode("cells").alias("cell"), "rep", "unit", "audited").join(sizes, place[:3])
     task = [*place, "block"]
-    both = given.unionByName(asked).repartition(*task).sortWithinPartitions(*task, "kind")
+
+    def put(questions: DataFrame, tables: DataFrame, blocks: str) -> DataFrame:
+        """Each block of questions behind its shard's index."""
+        to_all = questions.select(*place[:3], F.expr("explode(sequence(0, shards - 1))").alias("shard"), F.expr(f"pmod(xxhash64(rep, 1), {blocks})").cast("int").alias("block"), "rep", "unit", F.lit(None).cast("binary").alias("index"), F.lit(None).cast("int").alias("beam"), F.lit(1).alias("kind"))
+        given = tables.select(*place, F.expr(f"explode(sequence(0, cast({blocks} - 1 as int)))").alias("block"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("unit"), "index", "beam", F.lit(0).alias("kind"))
+        return given.unionByName(to_all).repartition(*task).sortWithinPartitions(*task, "kind")
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]):
+        for group in runs(batches, task):
+            if group.num_rows > 1:
+                held = np.load(io.BytesIO(group["index"][0].as_py()))
+                key, reps = held["key"], group["rep"][1:].to_numpy()
+                order = np.argsort(key, kind="stable")
+                at = np.minimum(np.searchsorted(key[order], reps), len(key) - 1)
+                own = np.where(key[order][at] == reps, order[at], -1)
+                yield group.slice(0, 1), held, Graph.load(held["graph"].tobytes()), reps, np.stack(group["unit"][1:].to_numpy()), own
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, held, graph, _, units, own in blocks_of(batches):
+            truth, found = audit(graph, held["exact"], units, own, cosine)
+            same_for = [pa.concat_arrays([one[c].combine_chunks()] * len(LADDER)) for c in place[:2]]
+            yield pa.RecordBatch.from_arrays([*same_for, pa.array(LADDER, pa.int32()), pa.array([truth] * len(LADDER), pa.int64()), pa.array(found, pa.int64())], ["label", "dim", "beam", "truth", "found"])
+
+    audits = work.keep(put(routed.where("audited"), index.withColumn("beam", F.lit(None).cast("int")), f"ceil(blocks / {AUDIT})").mapInArrow(measure, f"label {label_type}, dim int, beam int, truth long, found long"), "audits")
+    # labels without an audited class take what all labels together need
+    least = common_beam(audits)
+    of_label = sizes.select("label", "dim").distinct().join(beams(audits, least), ["label", "dim"], "left").withColumn("beam", F.coalesce("beam", F.lit(least)).cast("int"))
+    of_label = work.keep(of_label, "beams")
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for group in runs(batches, task):
-            held = np.load(io.BytesIO(group["index"][0].as_py()))
-            key, copies, exact, graph = held["key"], held["copies"], held["exact"], Graph.load(held["graph"].tobytes())
-            rest = group.slice(1)
-            if not rest.num_rows:
-                continue
-            reps = rest["rep"].to_numpy()
-            order = np.argsort(key, kind="stable")
-            at = np.minimum(np.searchsorted(key[order], reps), len(key) - 1)
-            own = np.where(key[order][at] == reps, order[at], -1)
-            found = links_of(graph, exact, np.stack(rest["unit"].to_numpy()), own, cosine)
+        for one, held, graph, reps, units, own in blocks_of(batches):
+            key, copies = held["key"], held["copies"]
+            found = links_of(graph, held["exact"], units, own, cosine, one["beam"][0].as_py())
             count = np.zeros(len(reps), dtype=np.int64)
             root = key.copy()  # of each node; what is out of date still leads to the right root
             for i, (rep, ids) in enumerate(zip(reps.tolist(), found)):
@@ -356,15 +436,16 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, shard: int = SHARD, q
         a, b = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b, pa.int64())], ["rep", "n_links", "other"])
 
-    answers = work.keep(both.mapInArrow(query, "rep long, n_links long, other long"), "answers")
+    answers = work.keep(put(routed, index.join(of_label.drop("recall"), ["label", "dim"]), "blocks").mapInArrow(query, "rep long, n_links long, other long"), "answers")
     joined = components(work, answers.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = work.keep(joined.join(classes.select(F.col("rep").alias("node"), "least_id"), "node"), "named")
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_rep = work.keep(named.join(least, "comp").select(F.col("node").alias("rep"), "component_id"), "of_rep")
     counts = answers.where("n_links is not null").groupBy("rep").agg(F.sum("n_links").alias("links"))
-    of_class = work.keep(classes.join(counts, "rep").join(of_rep, "rep", "left").select(*same, (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "of_class")
-    work.drop(vecs, index, answers)
+    searched = classes.join(counts, "rep").join(of_rep, "rep", "left").join(of_label, ["label", "dim"])
+    of_class = work.keep(searched.select(*same, "beam", "recall", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "of_class")
+    work.drop(vecs, index, audits, answers)
     slim = rows.select("vec_id", *same)
     some = slim.where("dim > 0").join(of_class, same).drop(*same)
-    none = slim.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    none = slim.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("int").alias("beam"), F.lit(None).cast("double").alias("recall"))
     return some.unionByName(none).withColumn("kept", F.expr("coalesce(vec_id = component_id, component_id is null)"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from donorframe.llm.vectors import Graph, links_of, near_vectors
+from donorframe.llm.vectors import LADDER, Graph, links_of, near_vectors
 
 
 def brute(rows, cosine=0.98):
@@ -62,9 +62,35 @@ def test_graph_recall():
     q = v + np.random.default_rng(3).normal(size=v.shape).astype(np.float32) * 0.004
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     q, v = q.astype(float), v.astype(float)
-    found = links_of(graph, v, q, np.full(len(q), -1), 0.98)
+    found = links_of(graph, v, q, np.full(len(q), -1), 0.98, LADDER[0])
     truth = [set(np.flatnonzero(row >= 0.98).tolist()) for row in q @ v.T]
     hit = sum(len(t & set(f.tolist())) for t, f in zip(truth, found))
     assert all(set(f.tolist()) <= t for t, f in zip(truth, found)) and hit >= 0.99 * sum(map(len, truth))
     top, _ = graph.search(q.astype(np.float32), 64)
     assert (top[:, 0] == (q @ v.T).argmax(1)).mean() > 0.9
+
+
+def test_large_shards_are_answered_by_the_graph(spark):
+    v = vectors(5, 2600)
+    rows = [(i, x.tolist(), int(i < 1500)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = near_vectors(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+    assert {r.beam for r in got} == {LADDER[0]} and all(r.recall >= 0.999 for r in got)
+
+
+def test_answers_come_from_the_graph():
+    v = vectors(6, 1500)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(float)
+    graph, none = Graph(v), np.full(len(v), -1)
+    assert sum(map(len, links_of(graph, v, v, none, 0.98, LADDER[0]))) == (v @ v.T >= 0.98).sum()
+    graph.search = lambda q, beam, own: (np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf))
+    assert not any(map(len, links_of(graph, v, v, none, 0.98, LADDER[0])))
+
+
+def test_hot_group_is_followed_beyond_the_beam():
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=32) + rng.normal(size=(1200, 32)) * 0.05, rng.normal(size=(800, 32))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = links_of(Graph(v), v, v[:200], np.arange(200), 0.98, LADDER[0])
+    assert sum(map(len, found)) == (v[:200] @ v.T >= 0.98).sum() > 100_000
