@@ -45,7 +45,7 @@ QUERIES = 16_384
 PIVOTS = 256
 M = 12
 BUILD_BEAM = 48
-LADDER = (128, 512, 2048)
+LADDER = (64, 256, 1024)
 #: Ids divisible by this are audited; the share of their links that a beam has to find.
 AUDIT = 20
 RECALL = 0.999
@@ -270,9 +270,13 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, co
 
 
 def audit(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[int, list[int]]:
-    """Links of the queries with other nodes: all of them, and those that each beam of LADDER finds."""
+    """Links of the queries with other nodes: all of them, and those that each beam of LADDER finds. Beams wider
+    than one that finds all are not tried."""
     count = lambda beam: sum(int((near != o).sum()) for near, o in zip(links_of(graph, exact, q, own, cosine, beam), own.tolist()))
-    return count(0), [count(beam) for beam in LADDER]
+    truth, found = count(0), []
+    for beam in LADDER:
+        found.append(truth if found and found[-1] == truth else count(beam))
+    return truth, found
 
 
 def common_beam(audits: DataFrame, recall: float = RECALL) -> int:
