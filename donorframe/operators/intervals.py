@@ -16,7 +16,8 @@ def merge_intervals(intervals: DataFrame, by: list[str] | None = None) -> DataFr
     """Union of closed intervals (start, end) per key; intervals that share a point become one, adjacent ones do not."""
     by = by or ["chrom"]
     order = [F.col("start"), F.col("end")]
-    ends = running(intervals.select(*by, "start", "end"), by, order, "start", before=("max", F.col("end"), False))
+    # equal intervals would tie, and the two passes could see them in different orders
+    ends = running(intervals.select(*by, "start", "end").distinct(), by, order, "start", before=("max", F.col("end"), False))
     fresh = F.when(F.col("before") >= F.col("start"), 0).otherwise(1)
     runs = running(ends, by, order, "start", run=("sum", fresh, True))
     return runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")

@@ -24,3 +24,11 @@ def test_genome_is_not_broadcast(spark, windows):
     asked = spark.range(10).selectExpr("'1' AS chrom", "cast(id * 7 AS int) AS start", "cast(id * 7 + 9 AS int) AS end")
     assert "BroadcastHashJoin" not in plan(windows(genome(spark, FOLDER), asked))
     assert "BroadcastHashJoin" not in plan(QUERIES["apply_variant"](spark, FOLDER))
+
+
+def test_equal_intervals_in_any_order(spark, monkeypatch):
+    shuffled = lambda rows, by, order, *rest, **wanted: plain(rows.withColumn("dealt", F.rand()), by, [*order, F.col("dealt")], *rest, **wanted).drop("dealt")
+    plain = intervals.running
+    monkeypatch.setattr(intervals, "running", shuffled)
+    rows = spark.range(400).selectExpr("'1' AS chrom", "cast(id div 8 * 100 AS int) AS start", "cast(id div 8 * 100 + 60 AS int) AS end")
+    assert sorted(map(tuple, intervals.merge_intervals(rows).collect())) == [("1", i * 100, i * 100 + 60) for i in range(50)]
