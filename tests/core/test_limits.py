@@ -32,3 +32,16 @@ def test_equal_intervals_in_any_order(spark, monkeypatch):
     monkeypatch.setattr(intervals, "running", shuffled)
     rows = spark.range(400).selectExpr("'1' AS chrom", "cast(id div 8 * 100 AS int) AS start", "cast(id div 8 * 100 + 60 AS int) AS end")
     assert sorted(map(tuple, intervals.merge_intervals(rows).collect())) == [("1", i * 100, i * 100 + 60) for i in range(50)]
+
+
+def test_trim_alleles_computes_the_suffix_once(spark):
+    trimmed = spark.createDataFrame([("xabcz", "xacz"), ("a", "a"), ("", "a"), ("abab", "ab"), ("gt", "ct")], "r string, a string").select("r", "a", scalar.trim_alleles(F.col("r"), F.col("a")).alias("t"))
+    assert trimmed._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 2
+    assert [tuple(x) for x in trimmed.select("t.*").collect()] == [(1, "ab", "a"), (0, "a", "a"), (0, "", "a"), (0, "aba", "a"), (0, "g", "c")]
+
+
+def test_repeats_by_plain_python(spark):
+    texts = ["", "a", "aa", "ab", "abab", "ababa", "aba", "abcabcab", "aab", "aaab", "abaab", "a\na\n", "\n\n\n", "abcdabce", "aaaaaaab"]
+    want = [(s, len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))) for s in texts]
+    got = spark.createDataFrame([(s,) for s in texts], "s string").select("s", scalar.is_tandem_repeat(F.col("s")).alias("r"))
+    assert list(map(tuple, got.collect())) == want
