@@ -45,3 +45,10 @@ def test_repeats_by_plain_python(spark):
     want = [(s, len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))) for s in texts]
     got = spark.createDataFrame([(s,) for s in texts], "s string").select("s", scalar.is_tandem_repeat(F.col("s")).alias("r"))
     assert list(map(tuple, got.collect())) == want
+
+
+def test_diff_needs_no_expanded_rows(spark):
+    files = spark.createDataFrame([(0, "1", 5, "A", "C"), (1, "1", 5, "A", "C"), (0, "1", 6, "A", "C"), (0, "2", 7, "A", "C"), (1, "2", 7, "A", "G"), (1, "3", 1, None, "G"), (0, "3", 1, "A", None)], "file_id int, chrom string, pos int, ref string, alt string")
+    told = metrics.match_diff(files, 2)
+    assert "Expand" not in plan(told)
+    assert sorted(map(tuple, told.collect())) == [("1", 6, 1, "0=C"), ("2", 7, 2, "0=C;1=G")]
