@@ -1,11 +1,13 @@
 """What keeps queries within their limits on large tables, and results that do not depend on how ties are dealt."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from donorframe.functions import scalar
-from donorframe.operators import intervals, metrics
-from donorframe.queries import QUERIES, genome
+from donorframe.operators import clustering, intervals, metrics
+from donorframe.queries import QUERIES, VARIED, genome, variants
 from donorframe.sources.readers import genome_windows, short_windows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +54,18 @@ def test_diff_needs_no_expanded_rows(spark):
     told = metrics.match_diff(files, 2)
     assert "Expand" not in plan(told)
     assert sorted(map(tuple, told.collect())) == [("1", 6, 1, "0=C"), ("2", 7, 2, "0=C;1=G")]
+
+
+def test_tandem_by_plain_python():
+    texts = ["".join(x) for n in range(11) for x in itertools.product("AC", repeat=n)] + ["ACGACGAC", "ACGACGAG", "ACACG", "CCCCCCCCA"]
+    for s in texts:
+        assert clustering.tandem(s) == (len(s) == 1 or any(s[: u * (len(s) // u)] == s[:u] * (len(s) // u) for u in range(1, len(s) // 2 + 1))), s
+
+
+def test_clustering_shuffles_rows_once(spark, monkeypatch):
+    plans = {}
+    kept = clustering.keep
+    monkeypatch.setattr(clustering, "keep", lambda df, name: plans.setdefault(name, plan(df)) and kept(df, name))
+    clustering.cluster(variants(spark, FOLDER, VARIED), genome(spark, FOLDER))
+    assert set(plans) == {"changes", "carries", "clusters"}
+    assert "Exchange hashpartitioning" not in plans["clusters"] and "Python" not in plans["clusters"] and "Arrow" not in plans["clusters"]
