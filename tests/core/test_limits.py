@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from donorframe.functions import scalar
-from donorframe.operators import clustering, intervals, metrics
+from donorframe.functions.alignment import left_normalize
+from donorframe.operators import clustering, intervals, metrics, normalize
 from donorframe.queries import QUERIES, VARIED, genome, variants
 from donorframe.sources.readers import genome_windows, short_windows
 
@@ -69,3 +70,46 @@ def test_clustering_shuffles_rows_once(spark, monkeypatch):
     clustering.cluster(variants(spark, FOLDER, VARIED), genome(spark, FOLDER))
     assert set(plans) == {"changes", "carries", "clusters"}
     assert "Exchange hashpartitioning" not in plans["clusters"] and "Python" not in plans["clusters"] and "Arrow" not in plans["clusters"]
+
+
+def test_windows_of_one_chunk_are_not_put_together(spark):
+    asked = spark.createDataFrame([("1", 5, 9, "a"), ("1", 4090, 4100, "b"), ("1", 4095, 4096, "c"), ("1", 7, 7, "d"), (None, 5, 9, "e"), ("23", 5, 9, "f"), ("1", -3, 2, "g")], "chrom string, start int, end int, n string")
+    bases = "".join(r.seq for r in genome(spark, FOLDER).where("chrom = '1' AND chunk_id < 2").orderBy("chunk_id").collect())
+    told = genome_windows(genome(spark, FOLDER), asked)
+    assert {r.n: r.seq for r in told.collect()} == {"a": bases[5:9], "b": bases[4090:4100], "c": bases[4095], "d": "", "e": "", "f": "", "g": bases[:2]}
+    first = told._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert "Union" in told._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in first
+
+
+def test_what_cannot_move_asks_for_no_bases(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(normalize, "genome_windows", lambda g, w, *rest: asked.append(w.count()) or genome_windows(g, w, *rest))
+    rows = [("1", 300, "A", ["C"]), ("1", 300, "A", ["AC", "T"]), ("1", 300, "AC", ["GT"]), ("1", 300, "A", ["CA"]), ("1", 300, "AC", ["AT"]), ("1", 300, "A", [""]), ("1", 300, "A", [None])]
+    told = normalize.normalize_variants(spark.createDataFrame(rows, "chrom string, pos int, ref string, alts array<string>"), genome(spark, FOLDER))
+    assert told.count() == len(rows) and asked == [2]
+
+
+def test_left_normalize_takes_bases_off_one_by_one_or_at_once():
+    def plain(genome, pos, ref, alts):
+        changed = True
+        while changed:
+            changed = False
+            if all([ref, *alts]) and len({x[-1] for x in [ref, *alts]}) == 1:
+                ref, alts, changed = ref[:-1], [x[:-1] for x in alts], True
+            if not all([ref, *alts]):
+                if pos == 0:
+                    base = genome[len(ref)]
+                    return pos, ref + base, [x + base for x in alts]
+                pos -= 1
+                ref, alts, changed = genome[pos] + ref, [genome[pos] + x for x in alts], True
+        while min(map(len, [ref, *alts])) > 1 and len({x[0] for x in [ref, *alts]}) == 1:
+            pos, ref, alts = pos + 1, ref[1:], [x[1:] for x in alts]
+        return pos, ref, alts
+
+    words = ["".join(x) for n in range(1, 5) for x in itertools.product("AC", repeat=n)]
+    for seq in ("AACACACCAC", "CCCCCCCCCC", "ACACACACAC"):
+        for pos, size, alt in itertools.product(range(5), range(1, 5), words):
+            ref = seq[pos : pos + size]
+            for alts in ([alt], [alt, alt[::-1] + "A"]):
+                if ref not in alts:
+                    assert left_normalize(seq, pos, ref, alts) == plain(seq, pos, ref, alts)
