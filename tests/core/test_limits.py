@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from donorframe.functions import scalar
 from donorframe.functions.alignment import left_normalize
-from donorframe.operators import clustering, intervals, metrics, normalize
+from donorframe.operators import clustering, duplicates, intervals, metrics, normalize
 from donorframe.queries import QUERIES, VARIED, genome, variants
 from donorframe.sources.readers import genome_windows, short_windows
 
@@ -113,3 +113,10 @@ def test_left_normalize_takes_bases_off_one_by_one_or_at_once():
             for alts in ([alt], [alt, alt[::-1] + "A"]):
                 if ref not in alts:
                     assert left_normalize(seq, pos, ref, alts) == plain(seq, pos, ref, alts)
+
+
+def test_duplicates_are_looked_for_in_written_rows(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(duplicates, "cluster", lambda rows, *rest, **more: read.append(plan(rows)) or clustering.cluster(rows, *rest, **more))
+    told = QUERIES["set_duplicates"](spark, FOLDER)
+    assert told.count() > 0 and len(read) == 2 and not any("Window" in p or "Join" in p for p in read)
