@@ -120,3 +120,19 @@ def test_duplicates_are_looked_for_in_written_rows(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "cluster", lambda rows, *rest, **more: read.append(plan(rows)) or clustering.cluster(rows, *rest, **more))
     told = QUERIES["set_duplicates"](spark, FOLDER)
     assert told.count() > 0 and len(read) == 2 and not any("Window" in p or "Join" in p for p in read)
+
+
+def test_clustering_shuffles_no_column_twice(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clustering, "keep", lambda df, name: seen.append(plan(df)) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        clustering.cluster(variants(spark, FOLDER, VARIED), genome(spark, FOLDER))
+    assert "FlatMapCoGroupsInArrow" in seen[0] and "order0" not in seen[0] and "row_end" not in seen[0]
+
+
+def test_clusters_read_once_are_not_written(spark, monkeypatch):
+    kept, names = clustering.keep, []
+    monkeypatch.setattr(clustering, "keep", lambda df, name: names.append(name) or kept(df, name))
+    for q in ("cluster_haploid", "cluster_backwards"):
+        assert QUERIES[q](spark, FOLDER).count() > 0
+    assert names == ["changes", "carries"] * 2
