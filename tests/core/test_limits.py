@@ -136,3 +136,11 @@ def test_clusters_read_once_are_not_written(spark, monkeypatch):
     for q in ("cluster_haploid", "cluster_backwards"):
         assert QUERIES[q](spark, FOLDER).count() > 0
     assert names == ["changes", "carries"] * 2
+
+
+def test_what_asks_is_told_once(spark, monkeypatch):
+    plans, kept = {}, normalize.keep
+    monkeypatch.setattr(normalize, "keep", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and kept(df, name))
+    told = QUERIES["left_normalized"](spark, FOLDER)
+    assert told.count() == variants(spark, FOLDER).count()
+    assert plans["asking"].count("md5") <= 2 and "md5" not in told._jdf.queryExecution().optimizedPlan().toString()
