@@ -7,7 +7,7 @@ import pytest
 
 from donorframe.model import MAX_REPEAT, Scoring, scorings
 from donorframe.operators.clustering import cluster
-from donorframe.operators.matcher import match_clusters
+from donorframe.operators.matcher import match_clusters, rows_left
 from donorframe.operators.search import Row, direct, hopeless
 from donorframe.queries import QUERIES, VARIED, cuts, genome, variants
 
@@ -112,3 +112,11 @@ def test_matches_at_all_cut_offs(spark, rows, searched, scoring):
         got[r.t, r.chrom, r.pos].append(r.score)
     assert {r.t for r in found} >= {0, 1, 2, 3}  # few rows reach the last cut-off
     assert want and {k: v for k, v in want.items() if got.get(k, [0]) != v} == {}
+
+
+def test_thresholds_that_leave_the_same_rows_go_on_as_one(spark):
+    schema = "cluster_id string, gathered array<struct<pos: int, qual: double>>"
+    clusters = spark.createDataFrame([("a", [(1, 0.5), (2, 9.0), (3, None)]), ("b", [(5, 7.0)])], schema)
+    cuts = spark.createDataFrame([(0, 0.0), (1, 0.2), (2, 0.2), (3, 8.0), (4, 10.0)], "t int, qual_min double")
+    got = {(r.cluster_id, tuple(x.pos for x in r.rows)): r.ts for r in rows_left(clusters, cuts).collect()}
+    assert got == {("a", (1, 2)): [0, 1, 2], ("a", (2,)): [3], ("a", ()): [4], ("b", (5,)): [0, 1, 2], ("b", ()): [3, 4]}

@@ -123,3 +123,14 @@ def test_alignment():
         assert "".join(x for x, _ in pairs) == a and "".join(y for _, y in pairs) == b and sum(x != y for x, y in pairs) == distance(a, b)
         assert "".join(base_edits(a, b)) == b and len(base_edits(a, b)) == len(a)
     assert left_normalize("GCAAAT", 3, "AA", ["A"]) == (1, "CA", ["C"]) and left_normalize("ACGT", 1, "CGT", ["CTT"]) == (2, "G", ["T"])
+
+
+def test_what_a_row_writes_is_worked_out_once(monkeypatch):
+    """Ways share the edits of a row, and what a strand spells is worked out once for all that share its edits."""
+    rows = [row(side, pos, GENOME[pos], "A" if GENOME[pos] != "A" else "C", het=False) for pos in (1, 3, 5) for side in (0, 1)]
+    spelled = []
+    told = Search.text
+    monkeypatch.setattr(Search, "text", lambda self, edits, at, to: spelled.append((id(edits), to)) or told(self, edits, at, to))
+    best = Search(rows, GENOME[:7], 0, Scoring()).best()
+    assert best.score == 6 and best.choices == (0,) * 6
+    assert 0 < len(spelled) == len(set(spelled))
